@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, chunking, components, packing, term_frequency
+from . import bpe, canonical, chunking, components, packing, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_counts(spark, d).filter("mark IS NOT NULL").select("field", "tag", "mark")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unresolved_topics(table(spark, d, "links"), table(spark, d, "topics"))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched_report(table(spark, d, "links"), table(spark, d, "topics"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.oversized_notes(table(spark, d, "notes"))
 
@@ -49,7 +57,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_counts, p2_found, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_counts, p2_found, p4_found, p4_unmatched, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)
 }
 
 ORACLES: dict[str, str] = {}
