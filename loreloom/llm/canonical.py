@@ -104,7 +104,7 @@ def similar_pairs(typed: DataFrame, reference: DataFrame, allowed) -> DataFrame:
     lens = typed.select("typed", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - 2), F.col("len") + 2)).alias("n"))
     cut = lens.join(shapes, "n").filter(F.abs(F.col("len") - F.col("n")) <= F.col("k"))
     cut = cut.select("typed", "n", "k", "at", "m", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))).alias("p"))
-    cut = cut.filter("p + m <= length(typed)").select("typed", "n", "at", F.expr("substring(typed, p + 1, m)").alias("piece")).distinct()
+    cut = cut.filter("p + m <= length(typed)").select("typed", "n", "at", F.expr("substring(typed, p + 1, m)").alias("piece"))
     found = cut.join(seg.select("ref", "k", "n", "at", "piece"), ["n", "at", "piece"]).select("typed", "ref", "k").distinct()
     found = found.withColumn("d", F.levenshtein("typed", "ref")).filter("d <= k")
     # two edits only as a swap of neighbours, or in a long string

@@ -27,6 +27,7 @@ from . import bpe
 CAPACITY = 2048
 #: Items of a group, which one task packs; and containers that each container trades with in one round.
 GROUP_ITEMS, NEIGHBOURS = 20_000, 48
+MOST_TASKS = 20_000
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -186,6 +187,8 @@ def fill_containers(
         groups = wanted
         grouped = left.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece_no", F.lit(level)), F.lit(groups)))
         schema = grouped.select("*", F.lit("").alias("container_id"), F.lit(True).alias("full")).schema
+        # one group a task where there are tasks enough; sizes in bytes say nothing about the work
+        grouped = grouped.repartition(min(groups, MOST_TASKS), "grp")
         packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours), schema), f"level{level}")
         if groups == 1:
             done.append(packed.select(columns))
