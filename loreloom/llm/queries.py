@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, canonical, chunking, components, packing, term_frequency
+from . import bpe, canonical, chunking, components, packing, term_frequency, toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,8 +56,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_summary(p7_containers(spark, d))
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.toxic_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).filter("toxic").select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.source_rates(p8_scores(spark, d))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_counts, p2_found, p4_found, p4_unmatched, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_counts, p2_found, p4_found, p4_unmatched, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_source_rates)
 }
 
 ORACLES: dict[str, str] = {}
