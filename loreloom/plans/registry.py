@@ -1,4 +1,8 @@
 """All core queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import quality
+
+QUERIES: dict = {**quality.QUERIES}
+ORACLES: dict[str, str] = {**quality.ORACLES}
