@@ -113,10 +113,10 @@ def similar_pairs(typed: DataFrame, reference: DataFrame, allowed) -> DataFrame:
 
 
 def _forms(entries: DataFrame, entry: str, names: list[str]) -> DataFrame:
-    """(entry, form, words, letters, numbers, whole): each way an entry may be written."""
+    """(fid, entry, words, letters, numbers, whole): each way an entry may be written."""
     forms = entries.select(F.col(entry).alias("entry"), F.explode(F.array(*names)).alias("form")).filter(not_blank(F.col("form")))
     forms = forms.withColumn("words", words_of(plain(F.col("form")))).select("entry", "words").distinct()
-    return _split_words(forms).withColumn("form", F.concat_ws(" ", "entry", "words"))
+    return _split_words(forms).withColumn("fid", F.monotonically_increasing_id())
 
 
 def _split_words(df: DataFrame) -> DataFrame:
@@ -141,6 +141,7 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     typed = typed.select("value", "reading", words_of(plain(F.col("text"))).alias("words"))
     typed = scratch.write(_split_words(typed), "typed")
     cleaned = typed.select("words", "letters", "numbers", "whole").filter(F.size("letters") > 0).distinct()
+    cleaned = scratch.write(cleaned.withColumn("wid", F.monotonically_increasing_id()), "cleaned")
 
     # by words: each typed word's candidates, then the entries that have a word for every one of them
     ref_words = forms.select(F.explode("letters").alias("ref"))
@@ -150,36 +151,41 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     cut = typed_words.filter(F.col("as_typed").endswith("\x01")).join(begun, "typed").select("as_typed", "ref", F.lit(0).alias("d"))
     pairs = near.unionByName(cut).groupBy("as_typed", "ref").agg(F.min("d").alias("d")).withColumnRenamed("as_typed", "typed")
     pairs = scratch.write(pairs, "pairs")
-    in_forms = forms.select("entry", "form", "numbers", F.size("words").alias("size"), F.explode(F.array_distinct("letters")).alias("ref"))
-    places = cleaned.select("words", F.col("numbers").alias("typed_numbers"), F.size("letters").alias("n"), F.posexplode("letters").alias("i", "typed"))
-    hits = places.join(pairs, "typed").join(in_forms, "ref")
-    hits = hits.filter(F.size(F.array_except("typed_numbers", "numbers")) == 0)
-    best = hits.groupBy("words", "n", "typed_numbers", "entry", "form", "size", "i").agg(F.min(F.struct("d", "ref")).alias("b"))
-    fit = best.groupBy("words", "n", "typed_numbers", "entry", "form", "size").agg(
-        F.count(F.lit(1)).alias("found"), F.countDistinct("b.ref").alias("refs"), F.sum("b.d").alias("d")
+    in_forms = forms.select("fid", F.col("numbers").alias("form_numbers"), F.posexplode(F.array_distinct("letters")).alias("j", "ref"))
+    places = cleaned.select("wid", "numbers", F.posexplode("letters").alias("i", "typed"))
+    hits = places.join(pairs, "typed").join(in_forms, "ref").filter(F.size(F.array_except("numbers", "form_numbers")) == 0)
+    # one exchange serves all three aggregations; a value has few rows, its words times their forms
+    hits = hits.select("wid", "fid", "i", (F.col("d") * 1000 + F.col("j")).cast("long").alias("dj")).repartition("wid")
+    best = hits.groupBy("wid", "fid", "i").agg(F.min("dj").alias("dj"))
+    fit = best.groupBy("wid", "fid").agg(
+        F.count(F.lit(1)).alias("found"), F.size(F.collect_set(F.col("dj") % 1000)).alias("refs"), F.sum(F.floor(F.col("dj") / 1000)).alias("d")
     )
-    fit = fit.filter("found = n AND refs = n").withColumn("absent", F.greatest(F.lit(0), F.col("size") - F.col("n") - F.size("typed_numbers")))
-    by_words = scratch.write(_single(fit.select("words", "entry", "d", F.col("absent").cast("boolean").alias("absent"))), "by_words")
+    fit = fit.join(cleaned.select("wid", F.size("letters").alias("n"), F.size("words").alias("n_typed")), "wid")
+    fit = fit.filter("found = n AND refs = n").join(forms.select("fid", "entry", F.size("words").alias("size")), "fid")
+    fit = fit.select("wid", "entry", "d", (F.col("size") > F.col("n_typed")).alias("absent"))
+    by_words = scratch.write(_single(fit), "by_words")
+    scratch.release_shuffles()
 
     # whole, for values whose words fit no entry: parted, joined and dotted writings
-    still = cleaned.join(by_words, "words", "left_anti")
+    still = cleaned.join(by_words, "wid", "left_anti")
     same = similar_pairs(still.select(F.col("whole").alias("typed")), forms.select(F.col("whole").alias("ref")), whole_edits)
-    whole = still.select("words", "numbers", F.col("whole").alias("typed")).join(same, "typed")
+    whole = still.select("wid", "numbers", F.col("whole").alias("typed")).join(same, "typed")
     whole = whole.join(forms.select("entry", "numbers", F.col("whole").alias("ref")), ["ref", "numbers"])
-    by_whole = _single(whole.select("words", "entry", "d", F.lit(False).alias("absent")))
-    found = by_words.unionByName(by_whole).filter("entry IS NOT NULL")
-    mapped = typed.join(found, "words").groupBy("value").agg(F.min_by("entry", "reading").alias("entry"))
-    mapped = scratch.write(mapped, "mapped")
+    by_whole = _single(whole.select("wid", "entry", "d", F.lit(False).alias("absent")))
+    found = by_words.unionByName(by_whole).filter("entry IS NOT NULL").join(cleaned.select("wid", "words"), "wid")
+    mapped = typed.join(found.select("words", "entry"), "words").groupBy("value").agg(F.min(F.struct("reading", "entry")).alias("m"))
+    mapped = scratch.write(mapped.select("value", F.col("m.entry").alias("entry")), "mapped")
     open_values = typed.filter("reading = 0").select("value").join(mapped, "value", "left_anti").withColumn("entry", F.lit(-1).cast("long"))
     return mapped.unionByName(open_values)
 
 
 def _single(fits: DataFrame) -> DataFrame:
-    """(words, entry): the one entry that fits best, null if several fit alike."""
-    per = fits.groupBy("words", "entry").agg(F.min(F.struct("d", "absent")).alias("rank"))
-    best = per.groupBy("words").agg(F.min("rank").alias("best"), F.collect_set(F.struct("rank", "entry")).alias("all"))
+    """(wid, entry): the one entry that fits best, null if several fit alike."""
+    ranked = fits.select("wid", "entry", (F.col("d") * 2 + F.col("absent").cast("int")).cast("long").alias("rank"))
+    per = ranked.groupBy("wid", "entry").agg(F.min("rank").alias("rank"))
+    best = per.groupBy("wid").agg(F.min("rank").alias("best"), F.collect_list(F.struct("rank", "entry")).alias("all"))
     top = F.filter("all", lambda x: x["rank"] == F.col("best"))
-    return best.select("words", F.when(F.size(top) == 1, top[0]["entry"]).cast("long").alias("entry"))
+    return best.select("wid", F.when(F.size(top) == 1, top[0]["entry"]).cast("long").alias("entry"))
 
 
 def unresolved_topics(links: DataFrame, topics: DataFrame) -> DataFrame:
