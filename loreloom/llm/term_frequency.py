@@ -36,10 +36,8 @@ def term_frequency(records: DataFrame, record: str, text: str, rare_records: int
     total = rows.agg(F.countDistinct("_record").alias("n_records"))
     per_record = rows.select("_record", F.explode(terms("_text")).alias("term")).groupBy("_record", "term").agg(F.count(F.lit(1)).alias("n"))
     per_term = per_record.groupBy("term").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("records"))
-    # one row of totals, broadcast by construction
-    marked = per_term.join(F.broadcast(total), F.col("n_records").isNotNull())
-    mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > F.col("n_records") * common_share, "common")
-    return marked.select("term", "uses", "records", mark.alias("mark"))
+    mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > total.scalar() * common_share, "common")
+    return per_term.select("term", "uses", "records", mark.alias("mark"))
 
 
 def tag_frequency(notes: DataFrame, tag_count: DataFrame) -> DataFrame:
