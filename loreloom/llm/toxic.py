@@ -17,6 +17,7 @@ their majority, a draw is left out; without reviews of both kinds the word list
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,8 @@ from . import bpe
 
 #: Reviewed documents that the scores are fitted to, at most.
 MAX_REVIEWED = 20_000
+#: Reviewed documents longer than this many characters are left out of the fit (never out of the scoring).
+MAX_CHARS = 200_000
 #: Natural logarithm of the chance below which a segment counts; lowered by the fit if reviews say so.
 LOG_CHANCE = -7.0
 
@@ -308,6 +311,8 @@ def fit(texts: list[str], toxic: list[bool], least: int = 2, rounds: int = 4) ->
         model.rate, model.log_k = 1.0, -1.0
         return model
 
+    if not parts:
+        return model
     text = np.concatenate([w.text + a for a, w in parts])
     start = np.concatenate([w.sentence_start for _, w in parts])
     sentence = np.cumsum(start)
@@ -369,7 +374,8 @@ class _Grams:
         at, grams = (np.arange(len(ids)), ids) if order == 1 else ngrams(ids, start, order)
         keys, inverse = np.unique(grams, return_inverse=True)
         zero = ordinary[at]
-        return cls(at, keys, inverse, _distinct(inverse[zero], text[at][zero], len(keys)))
+        y0 = _distinct(inverse[zero], text[at][zero], len(keys))
+        return cls(at.astype(np.int32), keys, inverse.astype(np.int32), y0)
 
 
 #: Taken from every word's score, and from the first word of a sentence: ordinary text drifts down.
@@ -478,15 +484,23 @@ SCHEMA = T.StructType([
 ])
 
 
-def fit_reviewed(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED) -> ToxicModel:
-    """The model of at most ``max_reviewed`` reviewed documents, taken in hash order of their ids."""
+def fit_reviewed(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED, max_chars: int = MAX_CHARS) -> ToxicModel:
+    """The model of at most ``max_reviewed`` reviewed documents of at most ``max_chars`` characters each, taken in
+    hash order of their ids. One task on an executor fits it, so the driver holds the finished scores alone."""
     votes = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
     sample = votes.filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).alias("is_toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_reviewed)
     # the sample is bounded by the limit above
-    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(sample), "doc_id").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
-    return fit(rows["text"].to_pylist(), rows["is_toxic"].to_pylist())
+    rows = docs.select("doc_id", "text").filter((F.col("text") != "") & (F.length("text") <= max_chars)).join(F.broadcast(sample), "doc_id")
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        data = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")]) if held else None
+        model = fit(data["text"].to_pylist(), data["is_toxic"].to_pylist()) if data is not None else fit([], [])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(fit_all, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [])  # noqa: S301  made just above
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED) -> DataFrame:
