@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {**quality.QUERIES}
-ORACLES: dict[str, str] = {**quality.ORACLES}
+from . import parse_plans, quality, search_plans
+
+MODULES = (search_plans, parse_plans, quality)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return search_plans.search_bm25(spark, d)
