@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..runtime import Scratch, skew_join
+from ..runtime import Scratch, heavy_keys, skew_join
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -138,11 +138,12 @@ def coreness(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> Data
     """
     scratch = Scratch(nodes.sparkSession, "cores")
     sym = scratch.write(both_ways(edges), "edges")
+    hubs = heavy_keys(sym, "a")
     value = scratch.write(degrees(nodes, edges).select("path", F.col("degree").cast("long").alias("h")), "h0")
     for k in range(max_rounds):
         own = value.select(F.col("path").alias("a"), F.col("h").alias("own"))
-        seen = skew_join(sym, value.select(F.col("path").alias("b"), "h"), "b").select("a", "h")
-        capped = skew_join(seen, own, "a").select("a", "own", F.least("h", "own").alias("h"))
+        seen = skew_join(sym, value.select(F.col("path").alias("b"), "h"), "b", heavy=hubs).select("a", "h")
+        capped = skew_join(seen, own, "a", heavy=hubs).select("a", "own", F.least("h", "own").alias("h"))
         tally = capped.groupBy("a", "own", "h").agg(F.count(F.lit(1)).alias("n"))
         # from high to low: the first value whose cumulated count reaches it
         steps = tally.groupBy("a", "own").agg(F.sort_array(F.collect_list(F.struct("h", "n")), asc=False).alias("s"))

@@ -37,9 +37,15 @@ def action_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_registers(spark: SparkSession, d: str) -> DataFrame:
-    """Pipe tables with a Status column in the raw documents."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("raw"))
-    return actions.parse_registers(docs).select("register_path", "line_no", *actions.FIELDS)
+    """Registers of up to fifty actions written as markdown tables and parsed again."""
+    a = table(spark, d, "actions")
+    cells = F.concat_ws(" | ", *(F.coalesce(f, F.lit("")) for f in actions.FIELDS))
+    rows = a.withColumn("line", F.concat(F.lit("| "), cells, F.lit(" |"))).groupBy(F.floor(F.col("action_id") / 50).alias("reg"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("action_id", "line"))), lambda r: r["line"]), "\n")
+    head = "# Open Actions - Areas\n\n| Status | Action | Owner | Review / Due | First | Source |\n| --- | --- | --- | --- | --- | --- |\n"
+    docs = rows.agg(F.concat(F.lit(head), body, F.lit("\n\n| Done | after the table | x | | | |\n")).alias("raw"))
+    docs = docs.select(F.concat(F.lit("areas-"), F.col("reg").cast("string"), F.lit("/OPEN-ACTIONS.md")).alias("path"), "raw")
+    return actions.parse_registers(actions.registers(docs)).select("register_path", "register_title", *actions.FIELDS)
 
 
 QUERIES = {f.__name__: f for f in (open_actions, action_sections, action_counts, action_worklist, parsed_registers)}
@@ -50,6 +56,9 @@ A = f"""a AS (SELECT *, trim(regexp_replace(lower(coalesce(status, '')), '(?s)^[
 o AS (SELECT *, coalesce(due <= DATE '{TODAY}', false) AND state <> 'done' AS is_overdue,
   substr(sha1('{REGISTER}|' || coalesce(first_raised, '') || '|' || coalesce(lower(action), '') || '|' || coalesce(lower(owner), '')), 1, 12) AS stable_id FROM a WHERE state <> 'done')"""
 ORACLES = {
+    "parsed_registers": "SELECT 'areas-' || CAST(floor(action_id / 50) AS BIGINT) || '/OPEN-ACTIONS.md' AS register_path, 'Open Actions - Areas' AS register_title, "
+    + ", ".join(f"trim(coalesce({f}, ''), {BLANKS}) AS {f}" for f in actions.FIELDS)
+    + " FROM actions WHERE NOT regexp_matches(replace(coalesce(status, ''), ' ', ''), '^-*$')",
     "open_actions": f"WITH {A} SELECT action_id, state, due, is_mine, is_overdue, stable_id FROM o",
     "action_sections": f"""WITH {A} SELECT 'overdue' AS section, action_id FROM o WHERE state = 'overdue' OR is_overdue UNION ALL SELECT 'mine', action_id FROM o WHERE is_mine
       UNION ALL SELECT 'needs review', action_id FROM o WHERE state = 'needs review' UNION ALL SELECT 'waiting', action_id FROM o WHERE state = 'waiting'""",

@@ -12,7 +12,7 @@ from .link_plans import links_of, notes_of
 from .sql import BLANKS, COMPONENTS, CUR, EDGES, LNK, resolved
 
 NOW = datetime(2024, 6, 30, tzinfo=timezone.utc)
-CONFIG = health.HealthConfig(size_threshold=500)
+CONFIG = health.HealthConfig(size_threshold=500, stub_threshold=60)
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ OVERSIZED = f"""SELECT 'oversized' AS type, path, '~' || (strlen(body) // 4) ||
   ) GROUP BY sec HAVING bool_or(k) AND bool_or(NOT h AND trim(line, {BLANKS}) <> ''))) AS n
   FROM cur WHERE length(body) // 4 > 500) WHERE n >= 3"""
 STUBS = """SELECT 'stub' AS type, path, 'near-empty (~' || (strlen(coalesce(body, '')) // 4) || ' tokens), links nowhere - merge or archive?' AS detail, 'warn' AS severity
-  FROM cur WHERE length(coalesce(body, '')) // 4 < 20 AND NOT regexp_matches(path, '^(Journal|Notes|4-Archives)/')
+  FROM cur WHERE length(coalesce(body, '')) // 4 < 60 AND NOT regexp_matches(path, '^(Journal|Notes|4-Archives)/')
   AND path NOT IN (SELECT source_path FROM lnk WHERE target_path IS NOT NULL)"""
 ORPHANS = f"""SELECT CASE degree WHEN 0 THEN 'orphan' ELSE 'leaf' END AS type, path, CASE degree WHEN 0 THEN 'degree 0 (no resolved links), age ' ELSE 'degree 1 (single resolved link), age ' END
   || CAST(trunc(({NOW_MS} - mtime) / {DAY}) AS BIGINT) || ' days' AS detail, 'warn' AS severity FROM cur JOIN deg USING (path)

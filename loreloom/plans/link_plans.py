@@ -10,6 +10,7 @@ from ..runtime import table
 from .sql import CUR, LNK, resolved
 
 SEED = "00 Home.md"
+TITLE = "index"
 GONE = "3-Resources/%"
 
 
@@ -45,7 +46,7 @@ def neighbours_out(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbours_in(spark: SparkSession, d: str) -> DataFrame:
     """Notes whose typed targets are one title."""
-    return context.incoming(links_of(spark, d), notes_of(spark, d, "title", "body"), "Garden bed")
+    return context.incoming(links_of(spark, d), notes_of(spark, d, "title", "body"), TITLE)
 
 
 def expand_context(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +72,7 @@ ORACLES = {
       FROM (SELECT source_path, target_path, min(target) AS typed FROM lnk WHERE target_path IS NOT NULL GROUP BY ALL) JOIN cur ON path = target_path
       WHERE source_path IN (SELECT path FROM cur)""",
     "neighbours_in": f"""WITH {CUR}, {LNK} SELECT path, title, substr(body, 1, 200) AS snippet FROM cur
-      WHERE path IN (SELECT source_path FROM lnk WHERE target = 'Garden bed' OR ends_with(lower(target), '/garden bed'))""",
+      WHERE path IN (SELECT source_path FROM lnk WHERE target = '{TITLE}' OR ends_with(lower(target), lower('/{TITLE}')))""",
     "expand_context": f"""WITH {CUR}, {LNK}, home AS (SELECT title FROM cur WHERE path = '{SEED}'),
       one AS (SELECT DISTINCT target_path AS path, 1 AS phase FROM lnk WHERE source_path = '{SEED}' AND target_path IN (SELECT path FROM cur)
         UNION ALL SELECT DISTINCT source_path, 2 FROM lnk, home WHERE title <> '' AND (target = title OR ends_with(lower(target), lower('/' || title))) AND source_path IN (SELECT path FROM cur)),

@@ -89,12 +89,12 @@ class Scratch:
 
 def heavy_keys(df: DataFrame, key: str, share: int = 500, least: int = 50_000) -> list:
     """The keys holding more than 1/share of the rows (and over ``least`` rows): at most ``share`` of them by arithmetic."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
-    rows = counts.collect() if counts.take(1) else []
-    if not rows:
+    total = df.count()
+    if total <= least:
         return []
-    floor = max(least, df.count() // share)
-    return [r[0] for r in rows if r["_n"] > floor and r[0] is not None]
+    floor = max(least, total // share)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > floor)
+    return [r[0] for r in counts.collect() if r[0] is not None]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: list | None = None) -> DataFrame:
