@@ -107,6 +107,8 @@ def similar_pairs(typed: DataFrame, reference: DataFrame, allowed) -> DataFrame:
     cut = cut.filter("p + m <= length(typed)").select("typed", "n", "at", F.expr("substring(typed, p + 1, m)").alias("piece"))
     found = cut.join(seg.select("ref", "k", "n", "at", "piece"), ["n", "at", "piece"]).select("typed", "ref", "k").distinct()
     found = found.withColumn("d", F.levenshtein("typed", "ref")).filter("d <= k")
+    # another digit is another thing, never a slip
+    found = found.filter(F.regexp_replace("typed", r"\D", "") == F.regexp_replace("ref", r"\D", ""))
     # two edits only as a swap of neighbours, or in a long string
     same = F.array_sort(F.split("typed", "")) == F.array_sort(F.split("ref", ""))
     return found.filter((F.col("d") < 2) | same | (F.length("ref") >= 7)).select("typed", "ref", F.when(same, F.least("d", F.lit(1))).otherwise(F.col("d")).alias("d"))

@@ -52,6 +52,8 @@ class Boundaries:
         self.n = len(text)
         self.by_rank = [np.fromiter((m.end() for m in p.finditer(text)), np.int64) for p in CUTS]
         self.words = np.concatenate([[0] if text and not text[0].isspace() else [], self.by_rank[-1]]).astype(np.int64)
+        # between words a cut may stand before, after and within the white space
+        self.by_rank[-1] = np.fromiter((i for m in CUTS[-1].finditer(text) for i in range(m.start(), m.end() + 1)), np.int64)
 
     @staticmethod
     def last(offsets: np.ndarray, low: int, high: int) -> int | None:

@@ -13,7 +13,7 @@ zero tokens and join an existing container of their group. Repeated rows are ite
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 from itertools import combinations
 
 import numpy as np
@@ -99,12 +99,15 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, neighb
     while improved:
         improved = False
         under = sorted((i for i in range(len(bins)) if 0 < fill[i] < capacity), key=lambda i: fill[i])
-        gone = set()
+        levels = [fill[i] for i in under]  # as the round began
+        gone: set[int] = set()
         for a in under:
             if not bins[a] or fill[a] >= capacity:
                 continue
-            # those that can gain from this donor: no emptier than it, the fullest first
-            takers = [b for b in reversed(under[-neighbours:]) if b != a and b not in gone and fill[b] < capacity]
+            # partners: the fullest that still have room for one of its documents, and the fullest of all for exchanges
+            room = bisect_right(levels, capacity - int(sizes[bins[a]].min()))
+            near = [*reversed(under[max(0, room - neighbours // 2) : room]), *reversed(under[-(neighbours // 2) :])]
+            takers = [b for b in dict.fromkeys(near) if b != a and b not in gone and fill[b] < capacity]
             for b in takers:
                 while fill[b] < capacity and bins[a]:
                     gain, out, back = best_trade(sizes[bins[a]], sizes[bins[b]], capacity - fill[b], fill[a] - fill[b])

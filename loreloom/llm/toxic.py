@@ -308,7 +308,7 @@ def fit(texts: list[str], toxic: list[bool], least: int = 2, rounds: int = 4) ->
     model.word_score = np.where(seeded > 0, 3.0, -0.5)
     model.masks = _masks(vocabulary, model.word_score)
     if not (y.any() and (~y).any()):
-        model.rate, model.log_k = 1.0, -1.0
+        model.rate, model.log_k = 2.0, -1.0  # two words of the list close together are enough
         return model
 
     if not parts:
