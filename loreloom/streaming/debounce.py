@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 
@@ -13,8 +14,10 @@ def bursts(events: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
     Sessions are merged before the shuffle. On a stream set a watermark on ``time`` first.
     """
     ts = F.col(time)
-    out = events.withColumn("_t", ts.cast("timestamp")).filter("_t IS NOT NULL")
-    grouped = out.groupBy(*keys, F.session_window("_t", gap)).agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("n_events"))
+    out = events.filter(ts.isNotNull())
+    # a cast would lose the watermark, so only other types are cast
+    at = ts if isinstance(events.schema[time].dataType, T.TimestampType) else ts.cast("timestamp")
+    grouped = out.groupBy(*keys, F.session_window(at, gap)).agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("n_events"))
     return grouped.drop("session_window")
 
 

@@ -23,7 +23,9 @@ def latest(events: DataFrame) -> DataFrame:
 def apply_events(index: StoredIndex, events: DataFrame, now_ms: float | None = None) -> None:
     """One micro-batch as one set-based update; a batch that is applied twice changes nothing."""
     last = latest(events).persist()
-    files = last.filter("kind = 'write'").select("path", "raw", "mtime")
+    # what the index holds already is not parsed again
+    files = last.filter("kind = 'write'").select("path", "raw", "mtime").join(index.notes().select("path", "mtime"), ["path", "mtime"], "left_anti")
+    files = files.select("path", "raw", "mtime")
     gone = [r["path"] for r in last.filter("kind = 'delete'").select("path").collect()]
     if gone or files.take(1):
         index.apply(files, gone, time.time() * 1000 if now_ms is None else now_ms)
@@ -62,6 +64,8 @@ class HealthListener(StreamingQueryListener):
 
 def watch(spark: SparkSession, root: str, index: StoredIndex, checkpoint: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, debounce_ms: int = 400, once: bool = False) -> StreamingQuery:
     """Starts the query that follows a vault. The trigger's interval is the debounce: all writes of a path within
-    it come as one event, because the source compares listings. ``once`` catches up and stops."""
+    it come as one event, because the source compares listings. A stream begins with what it lists first, so
+    notes that vanished before are removed by a refresh. ``once`` catches up and stops."""
+    index.refresh(root, excludes)
     writer = stream_vault(spark, root, excludes).writeStream.foreachBatch(lambda df, _: apply_events(index, df)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{debounce_ms} milliseconds")).start()
