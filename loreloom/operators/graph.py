@@ -79,10 +79,11 @@ def graph_nodes(notes: DataFrame, exclude: list[str] | None = None) -> DataFrame
 def graph_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) with a < b, each pair once; both ends must be nodes and differ."""
     e = links.filter(F.col("target_path").isNotNull() & (F.col("source_path") != F.col("target_path")))
-    # deduplicated before the ends are looked up: a hub's repeated links shrink first
+    # deduplicated before the ends are looked up: a hub's repeated links shrink to its distinct neighbours, and
+    # the adaptive skew join may split what is left of them, as a semi-join keeps only the split side's rows
     e = e.select(F.least("source_path", "target_path").alias("a"), F.greatest("source_path", "target_path").alias("b")).distinct()
-    e = skew_join(e, nodes.select(F.col("path").alias("a")), "a", "left_semi")
-    return skew_join(e, nodes.select(F.col("path").alias("b")), "b", "left_semi").select("a", "b")
+    e = e.join(nodes.select(F.col("path").alias("a")), "a", "left_semi")
+    return e.join(nodes.select(F.col("path").alias("b")), "b", "left_semi").select("a", "b")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -106,19 +107,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = scratch.write(nodes.orderBy("path").withColumn("id", F.monotonically_increasing_id()), "ids")
     e = edges.join(ids.select(F.col("path").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("path").alias("b"), F.col("id").alias("v")), "b")
     e = scratch.write(e.select("u", "v"), "edges")
-    before = None
+    before = (e.count(),)
     while True:
+        # a hub cannot matter in a graph of few edges; in a larger one the round's hubs are looked up
+        few = [] if 2 * before[0] <= 50_000 else None
         # large star: every larger neighbour of u points to the least of u and its neighbours
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = skew_join(sym.filter("v > u"), low, "u").select(F.col("m").alias("u"), "v").distinct()
+        large = skew_join(sym.filter("v > u"), low, "u", heavy=few).select(F.col("m").alias("u"), "v").distinct()
         large = scratch.write(large, "large")
         # small star: u and its smaller neighbours point to the least of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(down, low, "u").select("m", F.col("v").alias("w")).filter("m <> w").unionByName(low.select("m", F.col("u").alias("w")))
+        small = skew_join(down, low, "u", heavy=few).select("m", F.col("v").alias("w")).filter("m <> w").unionByName(low.select("m", F.col("u").alias("w")))
         new = scratch.write(small.select(F.col("m").alias("u"), F.col("w").alias("v")).distinct(), "small")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        state = tuple(new.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         scratch.drop(e, large)
         e = new
         if state == before:
