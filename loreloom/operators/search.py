@@ -326,6 +326,8 @@ def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None =
     node = parse_query(query)
     phrases = list(dict.fromkeys(phrases_of(node)))
     slim = notes.select("path", "title", "body", "tags")
+    if not phrases:  # no word at all matches nothing
+        return slim.filter(F.lit(False)).select("path", "title", "tags", F.lit(0.0).alias("rank"))
     lengths = slim.select(sum((F.size(tokens(f)) for f in FIELDS), F.lit(0)).alias("n"))
     totals = lengths.agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"))
     any_phrase = F.lit(False)
@@ -338,7 +340,7 @@ def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None =
     for k, p in enumerate(phrases):
         tok = tok.withColumn(f"tf{k}", _count(p))
     tok = tok.withColumn("dl", sum((F.size(f"{f}_tok") for f in FIELDS), F.lit(0)))
-    dfs = tok.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))) or [F.lit(0).alias("df")])
+    dfs = tok.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))))
     stats = totals.join(F.broadcast(dfs))  # one row each
     stats = stats.select(F.struct("*").alias("s"))
     hits = below(with_tag(_where(tok, _holds(node)), tag), prefix).withColumn("s", stats.scalar())
