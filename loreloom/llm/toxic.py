@@ -37,7 +37,7 @@ from . import bpe
 MAX_REVIEWED = 20_000
 #: Reviewed documents longer than this many characters are left out of the fit (never out of the scoring).
 MAX_CHARS = 200_000
-#: Natural logarithm of the chance below which a segment counts; lowered by the fit if reviews say so.
+#: Natural logarithm of the chance below which a segment counts; lowered where held-out reviews say so.
 LOG_CHANCE = -7.0
 
 # Words that insult, degrade or are sexually explicit in most uses: fixed values, plain spelling.
@@ -287,8 +287,10 @@ def log_odds(y1: np.ndarray, n1: float, y0: np.ndarray, n0: float, prior: np.nda
     return np.sign(d) * np.maximum(0.0, np.abs(d) - 0.5 * sd)
 
 
-def fit(texts: list[str], toxic: list[bool], least: int = 2, rounds: int = 4) -> ToxicModel:
-    """Scores and calibration from labelled texts."""
+def fit(texts: list[str], toxic: list[bool], least: int | None = None, rounds: int = 3) -> ToxicModel:
+    """Scores and calibration from labelled texts. N-grams seen less than ``least`` times have no score of their own
+    (default 2, from a thousand texts on 3)."""
+    least = least or (2 if len(texts) < 1000 else 3)
     model = ToxicModel()
     y = np.array(toxic, bool)
     parts = [(a, cut_words(texts[a:b])) for a, b in bpe.blocks(texts)]
@@ -411,27 +413,43 @@ def _masks(vocabulary: list[str], score: np.ndarray) -> dict[str, int]:
 def _calibrate(model: ToxicModel, best: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> None:
     """Extreme-value law of the best segment of ordinary texts: P(S > x) = 1 - exp(-K n exp(-rate x)).
 
-    Location and scale come from the middle of the distribution, so wrongly labelled texts in its tail do not count.
+    Few ordinary texts have a segment at all; its scale and location come from the lower part of those
+    segments, because wrongly labelled texts make up the upper tenth.
     """
     plain = ~y & (sizes > 0) & (best > 0)
     if plain.sum() < 20:
         model.rate, model.log_k = 1.0, -1.0
         return
-    b, logn = best[plain], np.log(sizes[plain])
-    q1, q2 = np.quantile(b, [0.5, 0.9])
-    # Gumbel quantiles: x(p) = mode - ln(-ln p) / rate
-    rate = (-np.log(-np.log(0.9)) + np.log(-np.log(0.5))) / max(q2 - q1, 1e-6)
-    model.rate = float(np.clip(rate, 0.05, 5.0))
-    mode = q1 + np.log(-np.log(0.5)) / model.rate
-    model.log_k = float(model.rate * mode - np.median(logn))
-    # the cut is where the reviews agree best, never above the given chance
-    chance = log_chance(model, best, sizes)
-    order = np.argsort(chance)
+    total = float((~y & (sizes > 0)).sum())
+    q1, q2 = np.quantile(best[plain], [0.3, 0.75])
+    # survival at both points among all ordinary texts, which the law makes exponential in the tail
+    s1, s2 = 0.7 * plain.sum() / total, 0.25 * plain.sum() / total
+    model.rate = float(np.clip(np.log(s1 / s2) / max(q2 - q1, 1e-6), 0.5, 3.0))
+    mean_log_n = float(np.log(np.maximum(sizes[~y & (sizes > 0)], 1)).mean())
+    model.log_k = float(np.log(-np.log1p(-min(s1, 0.99))) + model.rate * q1 - mean_log_n)
+
+
+def _best_cut(chance: np.ndarray, y: np.ndarray) -> float:
+    """Where the found texts agree best with the reviews (F1)."""
+    order = np.argsort(chance, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, y.sum()))
     k = int(np.argmax(f1))
-    nxt = chance[order][min(k + 1, len(order) - 1)]
-    model.log_chance = float((chance[order][k] + nxt) / 2)
+    here, after = chance[order][k], chance[order][min(k + 1, len(order) - 1)]
+    return float(min(LOG_CHANCE, (here + after) / 2))
+
+
+def fit_with_cut(texts: list[str], toxic: list[bool]) -> ToxicModel:
+    """The model of all reviewed texts, with the cut that a model of every other text finds best on the rest."""
+    model = fit(texts, toxic)
+    y = np.array(toxic, bool)
+    if min(y[0::2].sum(), y[1::2].sum()) < 20:
+        return model
+    half = fit(texts[0::2], toxic[0::2])
+    rest = texts[1::2]
+    chance = np.concatenate([-np.log(10) * score_block(half, rest[a:b])[0] for a, b in bpe.blocks(rest)])
+    model.log_chance = _best_cut(chance, y[1::2])
+    return model
 
 
 def log_chance(model: ToxicModel, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -444,7 +462,8 @@ def log_chance(model: ToxicModel, best: np.ndarray, sizes: np.ndarray) -> np.nda
 def _inside(s: np.ndarray, text: np.ndarray, sentence: np.ndarray, y: np.ndarray, best: np.ndarray, model: ToxicModel, sizes: np.ndarray) -> np.ndarray:
     """Places in sentences of toxic texts that a significant segment touches."""
     chance = log_chance(model, best, sizes)
-    hot = np.flatnonzero(y & (chance <= model.log_chance))
+    # so rare that chance would give less than one such segment in all reviewed texts
+    hot = np.flatnonzero(y & (chance <= -np.log(len(y))))
     first = np.searchsorted(text, hot)
     last = np.searchsorted(text, hot, "right")
     touched = np.zeros(int(sentence[-1]) + 1, bool)
@@ -496,7 +515,7 @@ def fit_reviewed(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REV
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         data = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")]) if held else None
-        model = fit(data["text"].to_pylist(), data["is_toxic"].to_pylist()) if data is not None else fit([], [])
+        model = fit_with_cut(data["text"].to_pylist(), data["is_toxic"].to_pylist()) if data is not None else fit([], [])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     made = rows.repartition(1).mapInArrow(fit_all, "model binary").collect()
