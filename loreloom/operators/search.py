@@ -8,7 +8,7 @@ and shuffles only small counts.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -291,7 +291,32 @@ def _where(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_hit", F.explode(F.when(condition, one).otherwise(none))).drop("_hit")
 
 
-def _maybe(node: object) -> Column:
+def stemmed(node: object) -> object:
+    """The expression over stems."""
+    from ..functions.text import porter
+
+    if isinstance(node, Phrase):
+        return replace(node, words=tuple(map(porter, node.words)))
+    if isinstance(node, Near):
+        return replace(node, phrases=tuple(map(stemmed, node.phrases)))
+    return Node(node.op, stemmed(node.left), stemmed(node.right))
+
+
+def with_tokens(df: DataFrame, stem: bool) -> DataFrame:
+    """Adds each field's tokens."""
+    from ..functions.text import stem_tokens
+
+    for f in FIELDS:
+        df = df.withColumn(f"{f}_tok", stem_tokens(tokens(f)) if stem else tokens(f))
+    return df
+
+
+def _root(word: str, stem: bool) -> str:
+    """A beginning that every word of that stem has: suffix rules change at most a stem's last two letters."""
+    return word if not stem else word[: max(1, len(word) - 2)]
+
+
+def _maybe(node: object, stem: bool = False) -> Column:
     """A cheap condition that every match meets: the rows for which tokens are worth cutting."""
     if isinstance(node, Phrase):
         if not node.words:
@@ -299,16 +324,16 @@ def _maybe(node: object) -> Column:
         text = F.concat_ws(" ", *(folded(F.coalesce(F.col(f), F.lit(""))) for f in ([node.field] if node.field else FIELDS)))
         out = F.lit(True)
         for w in node.words:
-            out = out & text.contains(w)
+            out = out & text.contains(_root(w, stem))
         return out
     if isinstance(node, Near):
         out = F.lit(True)
         for p in node.phrases:
-            out = out & _maybe(p)
+            out = out & _maybe(p, stem)
         return out
     if node.op == "not":
-        return _maybe(node.left)
-    left, right = _maybe(node.left), _maybe(node.right)
+        return _maybe(node.left, stem)
+    left, right = _maybe(node.left, stem), _maybe(node.right, stem)
     return left & right if node.op == "and" else left | right
 
 
@@ -321,9 +346,12 @@ def below(df: DataFrame, prefix: str | None) -> DataFrame:
     return df.filter(F.startswith(F.lower("path"), F.lower(F.lit(prefix)))) if prefix else df
 
 
-def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None = None, prefix: str | None = None) -> DataFrame:
-    """(path, title, tags, rank): best matches first, lower rank is better; raises QueryError on bad syntax."""
-    node = parse_query(query)
+def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None = None, prefix: str | None = None, stem: bool = True) -> DataFrame:
+    """(path, title, tags, rank): best matches first, lower rank is better; raises QueryError on bad syntax.
+
+    ``stem`` compares Porter stems; without it words must be equal and no Python runs.
+    """
+    node = stemmed(parse_query(query)) if stem else parse_query(query)
     phrases = list(dict.fromkeys(phrases_of(node)))
     slim = notes.select("path", "title", "body", "tags")
     if not phrases:  # no word at all matches nothing
@@ -332,11 +360,9 @@ def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None =
     totals = lengths.agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"))
     any_phrase = F.lit(False)
     for p in phrases:
-        any_phrase = any_phrase | _maybe(p)
+        any_phrase = any_phrase | _maybe(p, stem)
     # document frequencies count all notes; filters only narrow the result
-    tok = slim.filter(any_phrase)
-    for f in FIELDS:
-        tok = tok.withColumn(f"{f}_tok", tokens(f))
+    tok = with_tokens(slim.filter(any_phrase), stem)
     for k, p in enumerate(phrases):
         tok = tok.withColumn(f"tf{k}", _count(p))
     tok = tok.withColumn("dl", sum((F.size(f"{f}_tok") for f in FIELDS), F.lit(0)))
@@ -356,12 +382,10 @@ def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None =
     return out.orderBy("rank", "path").limit(limit) if limit is not None else out
 
 
-def matches(notes: DataFrame, query: str, tag: str | None = None, prefix: str | None = None) -> DataFrame:
+def matches(notes: DataFrame, query: str, tag: str | None = None, prefix: str | None = None, stem: bool = True) -> DataFrame:
     """(path) of all notes that satisfy the expression, unranked."""
-    node = parse_query(query)
-    tok = notes.select("path", "title", "body", "tags").filter(_maybe(node))
-    for f in FIELDS:
-        tok = tok.withColumn(f"{f}_tok", tokens(f))
+    node = stemmed(parse_query(query)) if stem else parse_query(query)
+    tok = with_tokens(notes.select("path", "title", "body", "tags").filter(_maybe(node, stem)), stem)
     return below(with_tag(_where(tok, _holds(node)), tag), prefix).select("path")
 
 

@@ -18,34 +18,34 @@ def notes_of(spark: SparkSession, d: str) -> DataFrame:
 
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     """All ranked matches of two words among all notes."""
-    hits = search.bm25(notes_of(spark, d), " ".join(TERMS), None)
+    hits = search.bm25(notes_of(spark, d), " ".join(TERMS), None, stem=False)
     return hits.select("path", "title", F.round("rank", 5).alias("rank"))
 
 
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The ten best with a tag and a folder."""
-    hits = search.bm25(notes_of(spark, d), " ".join(TERMS), 10, TAG, PREFIX)
+    hits = search.bm25(notes_of(spark, d), " ".join(TERMS), 10, TAG, PREFIX, stem=False)
     return hits.select("path", "title", F.round("rank", 5).alias("rank"))
 
 
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(notes_of(spark, d), '"open items" OR "meeting note"')
+    return search.matches(notes_of(spark, d), '"open items" OR "meeting note"', stem=False)
 
 
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(notes_of(spark, d), "proto* NOT survey")
+    return search.matches(notes_of(spark, d), "proto* NOT survey", stem=False)
 
 
 def search_boolean(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(notes_of(spark, d), "(budget OR dashboard) AND retro NOT vault")
+    return search.matches(notes_of(spark, d), "(budget OR dashboard) AND retro NOT vault", stem=False)
 
 
 def search_column(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(notes_of(spark, d), "title: survey OR tags: finance")
+    return search.matches(notes_of(spark, d), "title: survey OR tags: finance", stem=False)
 
 
 def search_near(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(notes_of(spark, d), "NEAR(budget draft, 12)")
+    return search.matches(notes_of(spark, d), "NEAR(budget draft, 12)", stem=False)
 
 
 def search_like(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,11 @@ def search_like(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked matches by stem: ``updates`` finds ``updated``."""
+    return search.bm25(notes_of(spark, d), "counted items", None).select("path", F.round("rank", 5).alias("rank"))
+
+
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.search(notes_of(spark, d), "contract draft", 10)
 
@@ -94,7 +99,7 @@ def _bm25(where: str, tail: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (search_bm25, search_filtered, search_phrase, search_prefix, search_boolean, search_column, search_near, search_like, search_snippets, stemmed_terms)
+    for f in (search_bm25, search_filtered, search_phrase, search_prefix, search_boolean, search_column, search_near, search_like, search_stemmed, search_snippets, stemmed_terms)
 }
 ORACLES = {
     "search_bm25": _bm25("", ""),

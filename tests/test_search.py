@@ -34,7 +34,7 @@ def test_expressions(notes, query, want):
             search.parse_query(query if re.search(r'["+*(){}]|\b(AND|OR|NOT|NEAR)\b', query) else f"({query})")
     else:
         q = query if re.search(r"[:^]", query) is None else f"({query})"
-        assert paths(search.matches(notes, q)) == want
+        assert paths(search.matches(notes, q, stem=False)) == want
 
 
 def test_rank_equals_a_plain_scorer(notes):
@@ -55,7 +55,7 @@ def test_rank_equals_a_plain_scorer(notes):
                 out[p] = -s
         return out
 
-    got = {r["path"]: r["rank"] for r in search.bm25(notes, "lazy dog").collect()}
+    got = {r["path"]: r["rank"] for r in search.bm25(notes, "lazy dog", stem=False).collect()}
     want = score(["lazy", "dog"])
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
 
@@ -68,3 +68,13 @@ def test_filters_are_substrings_and_fallback_contains(notes):
     assert search.search(notes, '"lazy').columns == ["path", "title", "snippet", "tags", "rank"]
     row = search.search(notes, "lazy dog").first()
     assert ">>>lazy<<<" in row["snippet"]
+
+
+def test_stems(spark):
+    from loreloom.functions.text import porter
+
+    words = ["jumps", "jumped", "jumping", "jump", "ponies", "pony", "filing", "files", "hopping", "sensibility", "sensible", "happy", "happiness", "relational", "relate", "dog"]
+    df = spark.createDataFrame([(w, "", f"a {w} b", "") for w in words], "path string, title string, body string, tags string")
+    for q in ("jumping", "pony", "file", "hop", "sensibilities", "happy", "relating"):
+        assert paths(search.matches(df, q)) == sorted(w for w in words if porter(w) == porter(q)), q
+    assert paths(search.bm25(df, '"a jump"', None)) == ["jump", "jumped", "jumping", "jumps"]
