@@ -59,8 +59,16 @@ def undecorated(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\.md\W*$", "")
 
 
-def without_folder(c: Column) -> Column:
-    return F.regexp_replace(c, r"^.*[/\\](?=.*[\p{L}\p{N}])", "")
+#: Parts between slashes that a name may span; more than that are folders.
+NAME_PARTS = 12
+
+
+def readings_of(c: Column) -> Column:
+    """A slash ends a folder or parts words: the value whole, then without its first folders one by one."""
+    parts = F.split(F.regexp_replace(c, r"[/\\\s]+$", ""), r"[/\\]")
+    starts = F.sequence(F.greatest(F.lit(2), F.size(parts) - NAME_PARTS + 1), F.size(parts))
+    tails = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, NAME_PARTS), "/"))
+    return F.when(F.size(parts) > 1, F.array_distinct(F.concat(F.array(c), tails))).otherwise(F.array(c))
 
 
 def words_of(c: Column) -> Column:
@@ -72,13 +80,12 @@ def words_of(c: Column) -> Column:
     parts = F.filter(F.split(c, r"[^\p{L}\p{N}\x01]+"), lambda w: w != "")
     for _ in range(2):
         parts = F.when((F.size(parts) > 1) & F.element_at(parts, 1).rlike(f"^(?:{LEADING})\x01?$"), F.slice(parts, 2, 1000)).otherwise(parts)
+    parts = F.transform(parts, lambda w: F.when(w.rlike(r"^\d+$"), F.regexp_replace(w, r"^0+(?=\d)", "")).otherwise(w))
+    # a Roman numeral is a number only as the last word and after a word, not after a single letter
     roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    return F.transform(
-        parts,
-        lambda w, i: F.when(w.rlike(r"^\d+$"), F.regexp_replace(w, r"^0+(?=\d)", "")).otherwise(
-            F.when((i > 0) & (F.length(w) <= 5), F.coalesce(F.try_element_at(roman, w), w)).otherwise(w)
-        ),
-    )
+    number = F.try_element_at(roman, F.try_element_at(parts, F.lit(-1)))
+    is_roman = number.isNotNull() & (F.length(F.try_element_at(parts, F.lit(-2))) > 1)
+    return F.when(F.coalesce(is_roman, F.lit(False)), F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(number))).otherwise(parts)
 
 
 def edits(length: Column) -> Column:
@@ -136,9 +143,8 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     scratch = Scratch(spark, "canonical")
     forms = scratch.write(_forms(entries, entry, names), "forms")
     typed = rows.select(F.col(value).alias("value")).filter(not_blank(F.col("value"))).distinct()
-    # a slash ends a folder or parts words: both readings count, the longer one first
-    bare = undecorated(F.col("value"))
-    readings = F.array_distinct(F.array(bare, without_folder(bare)))
+    # the longest reading that fits counts
+    readings = readings_of(undecorated(F.col("value")))
     typed = typed.select("value", F.posexplode(readings).alias("reading", "text"))
     typed = typed.select("value", "reading", words_of(plain(F.col("text"))).alias("words"))
     typed = scratch.write(_split_words(typed), "typed")

@@ -4,12 +4,12 @@ from loreloom.llm import canonical
 
 TOPICS = [
     (1, "Noustor Inventory", None, None), (2, "Umilöth Harbor Review", None, "UHR"), (3, "Movant Council 1", None, None), (4, "Movant Council 2", None, " "),
-    (5, "Thaustum Gearbox Sandbox", "team", "Code ORE119"), (6, "Briltard Harbor", None, None), (7, "Thaustum Gearbox", None, None),
+    (5, "Thaustum Gearbox Sandbox", "team", "Code ORE119"), (6, "Briltard Harbor", None, None), (7, "Thaustum Gearbox", None, None), (8, "Brul Hothouse Index", None, "BHI"), (9, "Heindix Beacon", None, None),
 ]
 CASES = {
     "Noustor Inventory": 1, "noustor inventory.md": 1, "2-Areas/NOUSTOR INVENTORY#Scope": 1, "Inventory, Noustor": 1, "Nuostor Inventoory": 1, "Nоustor Inventory": 1,
-    "Nous-tor Inventory": 1, "[[Noustor Inventory|x]]": 1, "\U0001f4cc noustor  inventory": 1, "noustor inv.": 1, "see Noustor Inventory": 1, "Noustor/Inventory.md": 1,
-    "Umilth Harbor Review": 2, "Umiloth Review": 2, "u.h.r.": 2, "UHR#notes": 2, "Umiloeth Harbor Review": 2, "Movant Council I": 3, "movant council no. 2": 4, "Movant Council 02": 4,
+    "Nous-tor Inventory": 1, "[[Noustor Inventory|x]]": 1, "\U0001f4cc noustor  inventory": 1, "noustor inv.": 1, "see Noustor Inventory": 1, "Noustor/Inventory.md": 1, "3-Resources/misc/Noustor/Inventory": 1, "2-Areas/Noustor Inventory": 1, "../Movant/Council/2": 4, "Topics/": -1,
+    "Umilth Harbor Review": 2, "Umiloth Review": 2, "u.h.r.": 2, "Umil-vi": -1, "b.h.i.": 8, "Heind ix Beacon": 9, "heind-ix beacon": 9, "UHR#notes": 2, "Umiloeth Harbor Review": 2, "Movant Council I": 3, "movant council no. 2": 4, "Movant Council 02": 4,
     "Movant Council": -1, "Movant Council 7": -1, "Harbor": -1, "Noustor Inventory Eclipse": -1, "Noustor Harbor": -1, "2024-05-01": -1, "clip-12.mp4": -1, "...": -1,
     "ore119": 5, "ORE118": -1, "Thaustum Gearbox": 7, "Thaustum Gearbox Sandbox": 5, "Thaustum": -1, "x" * 5000: -1,
 }
