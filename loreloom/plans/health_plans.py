@@ -80,12 +80,13 @@ DRIFT = f"""SELECT 'para_drift' AS type, path, CASE WHEN s IN ('done', 'closed',
   ELSE 'untouched ' || CAST(trunc(({NOW_MS} - mtime) / {DAY}) AS BIGINT) || ' days (threshold 180)' END AS detail, 'warn' AS severity
   FROM (SELECT path, mtime, {STATUS} AS s FROM cur WHERE starts_with(lower(path), '1-projects/'))
   WHERE coalesce(s IN ('done', 'closed', 'complete', 'archived'), false) OR mtime < {NOW_MS - 180 * DAY}"""
-OVERSIZED = f"""SELECT 'oversized' AS type, path, '~' || (strlen(body) // 4) || ' tokens, ' || n || ' sections - split candidate' AS detail, 'warn' AS severity FROM (
-  SELECT path, body, (SELECT count(*) FROM (SELECT sec FROM (
+SECTIONS = f"""(SELECT count(*) FROM (SELECT sec FROM (
     SELECT line, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (ORDER BY i) AS sec, h, k FROM (
       SELECT line, i, regexp_matches(line, '^#{{2,3}}\\s+\\S') OR starts_with(line, '# ') AS h, regexp_matches(line, '^#{{2,3}}\\s+\\S') AS k
       FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT string_split(body, chr(10)) AS l)))
-  ) GROUP BY sec HAVING bool_or(k) AND bool_or(NOT h AND trim(line, {BLANKS}) <> ''))) AS n
+  ) GROUP BY sec HAVING bool_or(k) AND bool_or(NOT h AND trim(line, {BLANKS}) <> '')))"""
+OVERSIZED = f"""SELECT 'oversized' AS type, path, '~' || (strlen(body) // 4) || ' tokens, ' || n || ' sections - split candidate' AS detail, 'warn' AS severity FROM (
+  SELECT path, body, {SECTIONS} AS n
   FROM cur WHERE length(body) // 4 > 500) WHERE n >= 3"""
 STUBS = """SELECT 'stub' AS type, path, 'near-empty (~' || (strlen(coalesce(body, '')) // 4) || ' tokens), links nowhere - merge or archive?' AS detail, 'warn' AS severity
   FROM cur WHERE length(coalesce(body, '')) // 4 < 60 AND NOT regexp_matches(path, '^(Journal|Notes|4-Archives)/')
@@ -97,6 +98,7 @@ ISLANDS = """SELECT 'island' AS type, component AS path, 'isolated cluster of '
   SELECT component, count(*) AS n, string_agg(path, ', ' ORDER BY path) AS members, bool_and(regexp_matches(path, '^4-Archives(/|$)')) AS archived FROM comp GROUP BY component)
   WHERE n BETWEEN 2 AND 3 AND NOT archived AND n < (SELECT max(c) FROM (SELECT count(*) AS c FROM comp GROUP BY component))"""
 ORACLES = {
+    "parse_sections": f"SELECT doc_id, CAST({SECTIONS} AS INTEGER) AS sections FROM (SELECT doc_id, text AS body FROM documents WHERE text IS NOT NULL)",
     "link_classes": f"WITH {CLASSES} SELECT source_path, target, kind FROM cls",
     "health_links": f"WITH {CLASSES} {LINK_FINDINGS}",
     "health_suppressed": f"WITH {CLASSES} SELECT count(*) AS suppressed FROM cls WHERE kind = 'dangling'",
