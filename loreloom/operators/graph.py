@@ -96,13 +96,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(d.withColumnRenamed("a", "path"), "path", "left").select("path", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(path, component): the least path of each node's component.
 
     Alternates between hanging all larger and all smaller neighbours on the least one (large-star and
     small-star), which takes a logarithmic number of rounds; each round is written to the shared folder.
     """
-    scratch = Scratch(nodes.sparkSession, "components")
+    scratch = scratch or Scratch(nodes.sparkSession, "components")
     # ids in the order of paths make the least id the least path
     ids = scratch.write(nodes.orderBy("path").withColumn("id", F.monotonically_increasing_id()), "ids")
     e = edges.join(ids.select(F.col("path").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("path").alias("b"), F.col("id").alias("v")), "b")
@@ -133,36 +133,72 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return skew_join(labelled, names, "lead").select("path", "component")
 
 
-def coreness(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _waves(scratch: Scratch, sym: DataFrame, nxt: DataFrame, hubs: list) -> DataFrame:
+    """(path, h, moved) with every fall of the round carried to the end of its chain at once.
+
+    A node at value h with exactly h neighbours that reach h is critical: it falls as soon as one of them does. So
+    where nodes of one value that fall or are critical hang together, one that falls takes all of them below it.
+    """
+    loose = scratch.write(nxt.filter("moved OR support = was").select("path", "was", "moved"), "loose")
+    at_a = loose.select(F.col("path").alias("a"), F.col("was").alias("h_a"))
+    at_b = loose.select(F.col("path").alias("b"), F.col("was").alias("h_b"))
+    ties = skew_join(skew_join(sym.filter("a < b"), at_a, "a", heavy=hubs), at_b, "b", heavy=hubs).filter("h_a = h_b").select("a", "b")
+    inner = Scratch(scratch.spark, "waves")
+    group = components(loose.select("path"), scratch.write(ties, "ties"), inner).withColumnRenamed("component", "lead")
+    group = scratch.write(group.join(loose, "path"), "groups")
+    falls = group.filter("moved").select("lead").distinct()
+    taken = group.filter("NOT moved").join(falls, "lead", "left_semi").select("path", F.lit(True).alias("taken"))
+    out = nxt.join(taken, "path", "left").select(
+        "path", F.when(F.col("taken"), F.col("was") - 1).otherwise(F.col("h")).alias("h"), (F.col("moved") | F.coalesce("taken", F.lit(False))).alias("moved")
+    )
+    out = scratch.write(out, "fallen")
+    inner.clear()
+    scratch.drop(nxt, loose, group)
+    return out
+
+
+#: Rounds of ``coreness`` after which one also follows every chain to its end; no bound on the rounds.
+WAVE_EVERY = 32
+
+
+def coreness(nodes: DataFrame, edges: DataFrame, wave_every: int = WAVE_EVERY) -> DataFrame:
     """(path, coreness) by lowering every node to the h-index of its neighbours until nothing moves.
 
     A node's h-index needs only how many neighbours reach each value up to its own, so neighbours are
-    counted by capped value before the shuffle; no task holds a hub's whole neighbourhood.
+    counted by capped value before the shuffle; no task holds a hub's whole neighbourhood. Along a chain
+    the values settle one node a round, so every ``wave_every`` rounds whole chains are lowered at once.
     """
     scratch = Scratch(nodes.sparkSession, "cores")
     sym = scratch.write(both_ways(edges), "edges")
     hubs = heavy_keys(sym, "a")
     value = scratch.write(degrees(nodes, edges).select("path", F.col("degree").cast("long").alias("h")), "h0")
-    for k in range(max_rounds):
+    k, moved = 0, True
+    while moved:
+        k += 1
         own = value.select(F.col("path").alias("a"), F.col("h").alias("own"))
         seen = skew_join(sym, value.select(F.col("path").alias("b"), "h"), "b", heavy=hubs).select("a", "h")
         capped = skew_join(seen, own, "a", heavy=hubs).select("a", "own", F.least("h", "own").alias("h"))
         tally = capped.groupBy("a", "own", "h").agg(F.count(F.lit(1)).alias("n"))
         # from high to low: the first value whose cumulated count reaches it
-        steps = tally.groupBy("a", "own").agg(F.sort_array(F.collect_list(F.struct("h", "n")), asc=False).alias("s"))
+        steps = tally.groupBy("a", "own").agg(
+            F.sort_array(F.collect_list(F.struct("h", "n")), asc=False).alias("s"), F.sum(F.when(F.col("h") == F.col("own"), F.col("n"))).alias("support")
+        )
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("best"))
         fold = lambda acc, x: F.struct(
             (acc["seen"] + x["n"]).alias("seen"), F.greatest(acc["best"], F.least(x["h"], acc["seen"] + x["n"])).alias("best")
         )
-        new = steps.select(F.col("a").alias("path"), F.aggregate("s", start, fold, lambda acc: acc["best"]).alias("new"))
-        nxt = value.join(new, "path", "left").select("path", F.coalesce("new", F.lit(0).cast("long")).alias("h"), (F.coalesce("new", F.lit(0)) != F.col("h")).alias("moved"))
-        nxt = scratch.write(nxt, f"h{k + 1}")
+        new = steps.select(F.col("a").alias("path"), F.aggregate("s", start, fold, lambda acc: acc["best"]).alias("new"), "support")
+        nxt = value.join(new, "path", "left").select(
+            "path", F.coalesce("new", F.lit(0).cast("long")).alias("h"), (F.coalesce("new", F.lit(0)) != F.col("h")).alias("moved"),
+            F.col("h").alias("was"), F.coalesce("support", F.lit(0)).alias("support"),
+        )
+        nxt = scratch.write(nxt, f"h{k}")
         moved = bool(nxt.filter("moved").take(1))
+        if moved and k % wave_every == 0:
+            nxt = _waves(scratch, sym, nxt, hubs)
         scratch.drop(value)
         value = nxt.select("path", "h")
         value._scratch_path = nxt._scratch_path
-        if not moved:
-            break
     return value.select("path", F.col("h").alias("coreness"))
 
 

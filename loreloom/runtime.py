@@ -75,12 +75,17 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = getattr(t, "_scratch_path", None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(getattr(t, "_scratch_path", None))
+
+    def clear(self) -> None:
+        """Delete every table of this scratch folder."""
+        self._delete(self.root)
+
+    def _delete(self, path: str | None) -> None:
+        if path:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def release_shuffles(self) -> None:
         """Let the context cleaner drop shuffle files of finished rounds, which it does once their handles are collected."""

@@ -68,6 +68,26 @@ def test_components_cores_and_stats(spark):
     assert (s["node_count"], s["edge_count"], s["component_count"], s["max_core"]) == (40, len(pairs), len(set(lead.values())), max(core.values()))
 
 
+def test_cores_of_long_chains(spark):
+    chain = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(2099)]  # settles one node a round from each end
+    fan = [(f"d{i:05d}", f"d{i + 1:05d}") for i in range(2099)] + [("d", f"d{i:05d}") for i in range(2100)]
+    ring = [(f"r{i:05d}", f"r{(i + 1) % 50:05d}") for i in range(50)] + [("r00000", "t00000")] + [(f"t{i:05d}", f"t{i + 1:05d}") for i in range(299)]
+    pairs = {tuple(sorted(e)) for e in chain + fan + ring}
+    names = sorted({n for e in pairs for n in e} | {"alone"})
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(sorted(pairs), "a string, b string")
+    core = {n: {"c": 1, "d": 2, "r": 2, "t": 1, "a": 0}[n[0]] for n in names}
+    assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges).collect()} == core
+
+
+def test_waves_in_every_round_change_no_core(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        names = [f"n{i:02d}" for i in range(60)]
+        pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(60 + 50 * seed)}
+        nodes, edges = spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(sorted(pairs), "a string, b string")
+        assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges, wave_every=1).collect()} == peel(names, pairs)
+
+
 def test_empty_graph(spark):
     nodes, edges = spark.createDataFrame([], "path string"), spark.createDataFrame([], "a string, b string")
     assert graph.graph_stats(nodes, edges).first().asDict() == {"node_count": 0, "edge_count": 0, "component_count": 0, "giant_ratio": 0.0, "max_core": 0}
