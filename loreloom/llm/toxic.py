@@ -37,6 +37,8 @@ from . import bpe
 MAX_REVIEWED = 20_000
 #: Reviewed documents longer than this many characters are left out of the fit (never out of the scoring).
 MAX_CHARS = 200_000
+#: Words and n-grams seen less often in the reviewed texts have no score of their own, however many reviews there are.
+LEAST = 2
 #: Natural logarithm of the chance below which a segment counts; lowered where held-out reviews say so.
 LOG_CHANCE = -7.0
 
@@ -287,10 +289,8 @@ def log_odds(y1: np.ndarray, n1: float, y0: np.ndarray, n0: float, prior: np.nda
     return np.sign(d) * np.maximum(0.0, np.abs(d) - 0.5 * sd)
 
 
-def fit(texts: list[str], toxic: list[bool], least: int | None = None, rounds: int = 3) -> ToxicModel:
-    """Scores and calibration from labelled texts. N-grams seen less than ``least`` times have no score of their own
-    (default 2, from a thousand texts on 3)."""
-    least = least or (2 if len(texts) < 1000 else 3)
+def fit(texts: list[str], toxic: list[bool], least: int = LEAST, rounds: int = 3) -> ToxicModel:
+    """Scores and calibration from labelled texts. N-grams seen less than ``least`` times have no score of their own."""
     model = ToxicModel()
     y = np.array(toxic, bool)
     parts = [(a, cut_words(texts[a:b])) for a, b in bpe.blocks(texts)]
@@ -439,13 +439,13 @@ def _best_cut(chance: np.ndarray, y: np.ndarray) -> float:
     return float(min(LOG_CHANCE, (here + after) / 2))
 
 
-def fit_with_cut(texts: list[str], toxic: list[bool]) -> ToxicModel:
+def fit_with_cut(texts: list[str], toxic: list[bool], least: int = LEAST) -> ToxicModel:
     """The model of all reviewed texts, with the cut that a model of every other text finds best on the rest."""
-    model = fit(texts, toxic)
+    model = fit(texts, toxic, least)
     y = np.array(toxic, bool)
     if min(y[0::2].sum(), y[1::2].sum()) < 20:
         return model
-    half = fit(texts[0::2], toxic[0::2])
+    half = fit(texts[0::2], toxic[0::2], least)
     rest = texts[1::2]
     chance = np.concatenate([-np.log(10) * score_block(half, rest[a:b])[0] for a, b in bpe.blocks(rest)])
     model.log_chance = _best_cut(chance, y[1::2])

@@ -40,6 +40,17 @@ def test_spellings(model, text):
     assert tx.score_block(model, ["The budget sheet is late today. " + text])[1][0]
 
 
+def test_words_seen_twice_keep_their_score_at_every_size(monkeypatch):
+    texts, y = make(1200, 5)
+    texts[0] += " you vile gorbag."
+    texts[5] += " you vile gorbag."
+    assert "gorbag" in tx.fit(texts, y).ids
+    used, inner = [], tx.fit
+    monkeypatch.setattr(tx, "fit", lambda t, b, least, **more: used.append((len(t), least)) or inner(t, b, least, **more))
+    tx.fit_with_cut(texts, y)
+    assert used == [(1200, tx.LEAST), (600, tx.LEAST)]
+
+
 def test_linear_scan_finds_all_maximal_segments():
     rng = random.Random(4)
     for _ in range(300):
