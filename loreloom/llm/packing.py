@@ -14,7 +14,6 @@ zero tokens and join an existing container of their group. Repeated rows are ite
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,9 +24,11 @@ from ..runtime import Scratch
 from . import bpe
 
 CAPACITY = 2048
-#: Items of a group, which one task packs; and containers that each container trades with in one round.
+#: Items of a group, which one task packs; and containers that each container trades with first.
 GROUP_ITEMS, NEIGHBOURS = 20_000, 48
 MOST_TASKS = 20_000
+#: The sum of a pair that isn't there.
+NOTHING = -(1 << 40)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -54,6 +55,27 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def closest_pairs(values: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each limit the greatest sum of two values that isn't above it, and their positions; NOTHING where no pair is."""
+    order = np.argsort(values, kind="stable")
+    s, i = values[order], np.arange(len(values))
+    j = np.searchsorted(s, limits[:, None] - s[None, :], "right") - 1
+    j = np.where(j == i, j - 1, j)  # not the value itself
+    sums = np.where(j >= 0, s[None, :] + s[np.maximum(j, 0)], NOTHING)
+    k = sums.argmax(axis=1)
+    rows = np.arange(len(limits))
+    return sums[rows, k], order[k], order[j[rows, k]]
+
+
+def _twice(values: np.ndarray) -> np.ndarray:
+    """Positions of two documents of each size at most, which have all the sums of two that all documents have."""
+    if len(values) <= 32:
+        return np.arange(len(values))
+    order = np.argsort(values, kind="stable")
+    s = values[order]
+    return np.sort(order[np.concatenate([[True, True], s[2:] != s[:-2]])])
+
+
 def best_trade(donor: np.ndarray, taker: np.ndarray, gap: int, ahead: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     """The exchange that brings the taker closest to full: (gain, positions out of donor, positions out of taker).
 
@@ -63,72 +85,136 @@ def best_trade(donor: np.ndarray, taker: np.ndarray, gap: int, ahead: int) -> tu
     fits = np.where(donor <= gap, donor, -1)
     if len(fits) and fits.max() > best[0]:
         best = (int(fits.max()), (int(fits.argmax()),), ())
-    if best[0] == gap:
+    if best[0] == gap or not len(donor) or not len(taker):
         return best
-    pairs = list(combinations(range(min(len(donor), 64)), 2))
-    gives = [(donor, [(i,) for i in range(len(donor))])]
-    if pairs:
-        gives.append((np.array([donor[i] + donor[j] for i, j in pairs]), pairs))
-    back = [(i,) for i in range(len(taker))]
-    back_sizes = taker
-    for give, give_at in gives:
-        if not len(give) or not len(back_sizes):
-            continue
-        diff = give[:, None] - back_sizes[None, :]
-        diff = np.where(diff <= gap, diff, -1)
-        k = int(diff.argmax())
-        if diff.flat[k] > best[0]:
-            best = (int(diff.flat[k]), tuple(give_at[k // len(back_sizes)]), back[k % len(back_sizes)])
+    give_at, back_at = _twice(donor), _twice(taker)
+    give, back = donor[give_at].astype(np.int64), taker[back_at].astype(np.int64)
+    diff = give[:, None] - back[None, :]
+    diff = np.where(diff <= gap, diff, -1)
+    k = int(diff.argmax())
+    if diff.flat[k] > best[0]:
+        best = (int(diff.flat[k]), (int(give_at[k // len(back)]),), (int(back_at[k % len(back)]),))
+        if best[0] == gap:
+            return best
+    if len(give) > 1:
+        sums, i, j = closest_pairs(give, gap + back)
+        k = int((sums - back).argmax())
+        if sums[k] - back[k] > best[0]:
+            best = (int(sums[k] - back[k]), tuple(sorted((int(give_at[i[k]]), int(give_at[j[k]])))), (int(back_at[k]),))
             if best[0] == gap:
                 return best
-    taker_pairs = list(combinations(range(min(len(taker), 64)), 2))
-    if taker_pairs:
-        sums = np.array([taker[i] + taker[j] for i, j in taker_pairs])
-        diff = donor[:, None] - sums[None, :]
-        diff = np.where(diff <= gap, diff, -1)
-        k = int(diff.argmax())
-        if diff.flat[k] > best[0]:
-            best = (int(diff.flat[k]), (k // len(sums),), taker_pairs[k % len(sums)])
+    if len(back) > 1:
+        sums, i, j = closest_pairs(-back, gap - give)
+        k = int((give + sums).argmax())
+        if give[k] + sums[k] > best[0]:
+            best = (int(give[k] + sums[k]), (int(give_at[k]),), tuple(sorted((int(back_at[i[k]]), int(back_at[j[k]])))))
     return best
 
 
-def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, neighbours: int = NEIGHBOURS) -> list[list[int]]:
-    """Drain the emptiest containers into the others; stops when no trade raises the sum of squared fills."""
+def _trade(sizes: np.ndarray, bins: list[list[int]], fill: list[int], a: int, b: int, capacity: int) -> bool:
+    """All trades between a and b that raise the sum of squared fills, the best first."""
+    traded = False
+    while fill[b] < capacity and bins[a]:
+        gain, out, back = best_trade(sizes[bins[a]], sizes[bins[b]], capacity - fill[b], fill[a] - fill[b])
+        if not out:
+            break
+        moved, returned = [bins[a][i] for i in out], [bins[b][i] for i in back]
+        bins[a] = [x for k, x in enumerate(bins[a]) if k not in out] + returned
+        bins[b] = [x for k, x in enumerate(bins[b]) if k not in back] + moved
+        fill[a] -= gain
+        fill[b] += gain
+        traded = True
+    return traded
+
+
+def _near_trades(sizes: np.ndarray, bins: list[list[int]], fill: list[int], capacity: int, neighbours: int) -> bool:
+    """One round of trades of every underfull container with its likeliest partners."""
+    improved = False
+    under = sorted((i for i in range(len(bins)) if 0 < fill[i] < capacity), key=lambda i: fill[i])
+    levels = [fill[i] for i in under]  # as the round began
+    gone: set[int] = set()
+    for a in under:
+        if not bins[a] or fill[a] >= capacity:
+            continue
+        # partners: the fullest that still have room for one of its documents, and the fullest of all for exchanges
+        room = bisect_right(levels, capacity - int(sizes[bins[a]].min()))
+        near = [*reversed(under[max(0, room - neighbours // 2) : room]), *reversed(under[-(neighbours // 2) :])]
+        for b in [b for b in dict.fromkeys(near) if b != a and b not in gone and fill[b] < capacity]:
+            improved |= _trade(sizes, bins, fill, a, b, capacity)
+            if not bins[a]:
+                gone.add(a)
+                break
+    return improved
+
+
+def _pair_sums(values: np.ndarray) -> np.ndarray:
+    """The distinct sums of two of the values."""
+    v = values[_twice(values)]
+    i, j = np.triu_indices(len(v), 1)
+    return np.unique(v[i] + v[j])
+
+
+def _all_trades(sizes: np.ndarray, bins: list[list[int]], fill: list[int], capacity: int) -> bool:
+    """One round in which every underfull container is tried with every other.
+
+    What a container may give is kept as cumulated counts by size, so one look at both ends of the window of wanted
+    sizes tells for every document, or sum of two, of all the others whether an exchange for it raises the sum.
+    """
+    under = [i for i in range(len(bins)) if 0 < fill[i] < capacity]
+    if len(under) < 2:
+        return False
+    singles = [np.unique(sizes[bins[i]]) for i in under]
+    doubles = [_pair_sums(sizes[bins[i]]) for i in under]
+    level, n = np.array([fill[i] for i in under]), len(under)
+    # nothing, one document or two come back
+    one, one_of = np.concatenate(singles), np.repeat(np.arange(n), [len(x) for x in singles])
+    two, two_of = np.concatenate(doubles), np.repeat(np.arange(n), [len(x) for x in doubles])
+    gap = capacity - level
+    open_, improved = np.ones(n, bool), False  # containers that are as the round began
+    one_to, two_to = one + gap[one_of], two + gap[two_of]
+
+    def known(values: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.bincount(values, minlength=2 * capacity + 1) > 0)
+
+    for k, a in enumerate(under):
+        if not open_[k]:
+            continue  # changed in this round, so another follows
+        while bins[a]:
+            own = sizes[bins[a]]
+            single, double = known(own), known(np.concatenate([own, _pair_sums(own)]))
+            ahead = np.maximum(0, fill[a] - level)
+            hit = single[gap] > single[ahead]
+            hit[one_of[double[one_to] > double[one + ahead[one_of]]]] = True
+            hit[two_of[single[two_to] > single[two + ahead[two_of]]]] = True
+            hit &= open_
+            hit[k] = False
+            if not hit.any():
+                break
+            m = int(np.where(hit, level, -1).argmax())  # the fullest
+            _trade(sizes, bins, fill, a, under[m], capacity)
+            open_[k] = open_[m] = False
+            improved = True
+    return improved
+
+
+def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, neighbours: int = NEIGHBOURS, every: bool = True) -> list[list[int]]:
+    """Drain the emptiest containers into the others; stops when no trade raises the sum of squared fills.
+
+    Without ``every`` it stops as soon as none does among the ``neighbours`` partners of each container, which is
+    for groups whose underfull containers are opened again.
+    """
     fill = [int(sizes[b].sum()) if b else 0 for b in bins]
-    improved = True
-    while improved:
-        improved = False
-        under = sorted((i for i in range(len(bins)) if 0 < fill[i] < capacity), key=lambda i: fill[i])
-        levels = [fill[i] for i in under]  # as the round began
-        gone: set[int] = set()
-        for a in under:
-            if not bins[a] or fill[a] >= capacity:
-                continue
-            # partners: the fullest that still have room for one of its documents, and the fullest of all for exchanges
-            room = bisect_right(levels, capacity - int(sizes[bins[a]].min()))
-            near = [*reversed(under[max(0, room - neighbours // 2) : room]), *reversed(under[-(neighbours // 2) :])]
-            takers = [b for b in dict.fromkeys(near) if b != a and b not in gone and fill[b] < capacity]
-            for b in takers:
-                while fill[b] < capacity and bins[a]:
-                    gain, out, back = best_trade(sizes[bins[a]], sizes[bins[b]], capacity - fill[b], fill[a] - fill[b])
-                    if not out:
-                        break
-                    moved, returned = [bins[a][i] for i in out], [bins[b][i] for i in back]
-                    bins[a] = [x for k, x in enumerate(bins[a]) if k not in out] + returned
-                    bins[b] = [x for k, x in enumerate(bins[b]) if k not in back] + moved
-                    fill[a] -= gain
-                    fill[b] += gain
-                    improved = True
-                if not bins[a]:
-                    gone.add(a)
-                    break
+    while _near_trades(sizes, bins, fill, capacity, neighbours):
+        pass
+    while every and _all_trades(sizes, bins, fill, capacity):
+        pass
     return [b for b in bins if b]
 
 
-def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, neighbours: int = NEIGHBOURS) -> list[list[int]]:
+def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, neighbours: int = NEIGHBOURS, every: bool = True) -> list[list[int]]:
     """Containers of item numbers; items without tokens join the first container."""
     real = np.flatnonzero(sizes > 0)
-    bins = local_search(sizes[real], best_fit_decreasing(sizes[real], capacity), capacity, neighbours) if len(real) else []
+    bins = local_search(sizes[real], best_fit_decreasing(sizes[real], capacity), capacity, neighbours, every) if len(real) else []
     out = [[int(real[i]) for i in b] for b in bins]
     none = np.flatnonzero(sizes <= 0).tolist()
     if none:
@@ -139,12 +225,12 @@ def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, neighbours: int = NE
     return out
 
 
-def _pack(level: int, capacity: int, neighbours: int):
+def _pack(level: int, capacity: int, neighbours: int, every: bool):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_id", "piece_no"], kind="stable").reset_index(drop=True)
         sizes = pdf["n_tokens"].to_numpy(np.int64)
         bin_of, full = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
-        for k, b in enumerate(pack_group(sizes, capacity, neighbours)):
+        for k, b in enumerate(pack_group(sizes, capacity, neighbours, every)):
             bin_of[b] = k
             full[b] = sizes[b].sum() == capacity
         return pdf.assign(container_id=[f"{level}-{g}-{k}" for g, k in zip(pdf["grp"], bin_of)], full=full)
@@ -192,7 +278,7 @@ def fill_containers(
         schema = grouped.select("*", F.lit("").alias("container_id"), F.lit(True).alias("full")).schema
         # one group a task where there are tasks enough; sizes in bytes say nothing about the work
         grouped = grouped.repartition(min(groups, MOST_TASKS), "grp")
-        packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours), schema), f"level{level}")
+        packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours, groups == 1), schema), f"level{level}")
         if groups == 1:
             done.append(packed.select(columns))
             break

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -32,6 +33,42 @@ def test_two_for_one_exchange_is_found():
     assert gain == 100 and out == (0, 1) and back == (0,)
 
 
+def brute_trade(donor, taker, gap, ahead):
+    gives = [(x, 1) for x in donor] + [(x + y, 2) for x, y in combinations(donor, 2)]
+    backs = [(0, 0)] + [(x, 1) for x in taker] + [(x + y, 2) for x, y in combinations(taker, 2)]
+    gains = [g - r for g, n in gives for r, m in backs if (n, m) in {(1, 0), (1, 1), (2, 1), (1, 2)} and max(0, ahead) < g - r <= gap]
+    return max(gains, default=max(0, ahead))
+
+
+def test_best_trade_is_best_of_all():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        donor, taker = rng.integers(1, 90, rng.integers(1, 45)), rng.integers(1, 90, rng.integers(1, 45))
+        gap, ahead = int(rng.integers(1, 60)), int(rng.integers(-80, 40))
+        gain, out, back = pk.best_trade(donor, taker, gap, ahead)
+        assert gain == brute_trade(donor.tolist(), taker.tolist(), gap, ahead)
+        if out:
+            assert len(set(out)) == len(out) and len(set(back)) == len(back) and gain == donor[list(out)].sum() - taker[list(back)].sum()
+
+
+def test_documents_after_the_64th_take_part_in_pairs():
+    donor = np.array([2] * 70 + [5, 7])  # only 5 + 7 gives 12
+    assert pk.best_trade(donor, np.array([1, 1]), 11, -100) == (11, (70, 71), (0,))
+
+
+@pytest.mark.parametrize("seed,low,high", [(1, 500, 1500), (2, 300, 900), (3, 850, 1020)])
+def test_no_trade_is_left(seed, low, high):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(low, high, 300)
+    bins = pk.local_search(sizes, [[i] for i in range(300)], 2048, neighbours=4)
+    fill = [int(sizes[b].sum()) for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            if a != b and fill[a] < 2048 and fill[b] < 2048:
+                ahead = fill[a] - fill[b]
+                assert brute_trade(sizes[bins[a]].tolist(), sizes[bins[b]].tolist(), 2048 - fill[b], ahead) == max(0, ahead)
+
+
 def test_degenerate_groups():
     assert pk.pack_group(np.zeros(0, int)) == []
     assert pk.pack_group(np.array([0, 0])) == [[0, 1]]
