@@ -4,7 +4,7 @@ Texts are measured in tokens, then spread by hash over groups of bounded size. A
 best-fit-decreasing packing and improves it by local search: a document moves, or is exchanged
 one-for-one or two-for-one, between underfull containers whenever that raises the sum of squared
 fills, so the emptiest containers drain into the others. What stays underfull in all groups is
-regrouped and searched again until one group is left or nothing more can be gained.
+regrouped and searched again until one group is left or a level, searched in full, fills no further container.
 
 Defined results: a text is split only if it alone exceeds the capacity; its full pieces fill
 containers of their own and the remainder is packed like any other item. Empty and null texts have
@@ -267,24 +267,25 @@ def fill_containers(
         .select(columns)
     ]
     left = pieces.filter(F.col("n_tokens") < cap)
-    n, level, groups = left.count(), 0, None
+    n, level, stalled = left.count(), 0, False
     while True:
-        wanted = max(1, -(-n // group_items))
-        if groups is not None and wanted >= groups:
-            done.append(packed.filter(~F.col("full")).select(columns))  # noqa: F821
-            break
-        groups = wanted
+        groups = max(1, -(-n // group_items))
         grouped = left.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece_no", F.lit(level)), F.lit(groups)))
         schema = grouped.select("*", F.lit("").alias("container_id"), F.lit(True).alias("full")).schema
         # one group a task where there are tasks enough; sizes in bytes say nothing about the work
         grouped = grouped.repartition(min(groups, MOST_TASKS), "grp")
-        packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours, groups == 1), schema), f"level{level}")
+        packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours, stalled or groups == 1), schema), f"level{level}")
         if groups == 1:
             done.append(packed.select(columns))
             break
         done.append(packed.filter("full").select(columns))
-        left = packed.filter(~F.col("full")).drop("container_id", "full", "grp")
-        n, level = left.count(), level + 1
+        left_packed = packed.filter(~F.col("full"))
+        left = left_packed.drop("container_id", "full", "grp")
+        before, n, level = n, left.count(), level + 1
+        if stalled and n == before:
+            done.append(left_packed.select(columns))
+            break
+        stalled = n == before  # then every container is tried with every other of its group, once
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loreloom.llm import packing as pk
 
@@ -93,6 +94,19 @@ def test_documents(spark):
     assert s["fullest"] <= 2048 and s["containers"] <= s["least_containers"] + 2
 
 
+def test_regrouping_goes_on_while_items_are_settled(spark, monkeypatch):
+    def first_two_of_group(sizes, capacity, neighbours, every):  # settles one pair a group, whatever there is
+        return [[0, 1], *([i] for i in range(2, len(sizes)))]
+
+    monkeypatch.setattr(pk, "pack_group", first_two_of_group)
+    monkeypatch.setattr(pk.bpe, "token_counts", lambda docs, key, text, vocabulary: docs.withColumn("n_tokens", F.lit(1024).cast("long")))
+    df = spark.createDataFrame([(i, "x") for i in range(38)], "doc_id long, text string")
+    out = pk.fill_containers(df.coalesce(1), group_items=20).collect()
+    assert len(out) == 38 and len({r["doc_id"] for r in out}) == 38
+    # two groups at first and, with 34 items left, two again: the old end; now on to a single group
+    assert len({r["container_id"].split("-")[0] for r in out}) > 2
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pk.fill_containers(df).collect() == []
