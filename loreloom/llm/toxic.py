@@ -9,7 +9,9 @@ text's length; a text is toxic if chance would so rarely give such a segment.
 
 The scores are fitted to a bounded sample of reviewed documents (``max_reviewed``, in hash order): only
 whole documents are labelled, so a second round recounts within the segments that the first one found.
-Everything else runs over all documents, in one pass without a shuffle.
+The counts of ordinary text behind the priors and the location and scale of the extreme-value law come from
+the sample's ordinary texts, too, so words outside the sample have no count of their own. Scoring runs over
+all documents, in one pass without a shuffle.
 
 Defined results: null and empty texts score 0 and are not toxic; a document with several reviews takes
 their majority, a draw is left out; without reviews of both kinds the word list alone decides.
