@@ -6,9 +6,11 @@ a reference string is cut into k+1 segments, so that within k edits at least one
 unchanged, at most k places off, in the typed string. Segments are joined by equality, the built-in
 ``levenshtein`` verifies, and values without an entry are found by an anti-join.
 
-A value fits an entry if each of its words is a different word of the entry's name or other name,
-within the edits allowed for its length or cut short before a dot, and its numbers are among the entry's. Of the fitting entries those
-with the fewest edits stay, of these the ones with no word missing; one entry left is the match.
+A value that writes the name or other name of one entry exactly (but for case, marks, look-alike signs and
+decoration) is that entry's. Else it fits an entry if each of its words is a different word of the entry's name
+or other name, within the edits allowed for its length or cut short before a dot, and its numbers are among the
+entry's, no more of them than the entry has. Of the fitting entries those with the fewest edits stay, of these
+the ones with no word missing; one entry left is the match.
 
 Defined results: null and blank values have no row; a value that fits no entry, or several alike, maps
 to -1; repeated rows each keep their row; an empty list maps everything to -1.
@@ -46,9 +48,7 @@ def plain(c: Column) -> Column:
     c = F.translate(c, wide, "".join(map(chr, range(0x21, 0x7F))))
     c = F.regexp_replace(c, r"[\p{Mn}\p{Cf}]+", "")
     c = F.translate(F.lower(c), *LOOKALIKES)
-    c = F.replace(F.replace(F.translate(c, *MARKED), F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae"))
-    # an umlaut may be written with an e: both writings come out alike, here and in the reference list
-    return F.regexp_replace(c, "(?<=[aou])e", "")
+    return F.replace(F.replace(F.translate(c, *MARKED), F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae"))
 
 
 def undecorated(c: Column) -> Column:
@@ -59,33 +59,41 @@ def undecorated(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\.md\W*$", "")
 
 
-#: Parts between slashes that a name may span; more than that are folders.
-NAME_PARTS = 12
+def with_readings(df: DataFrame, value: str, most: int) -> DataFrame:
+    """Adds (reading, text): a slash ends a folder or parts words, so the value whole, then without its first folders one by one.
 
+    Each part with a letter or digit is a word at least, so of a value with more than ``most`` of them only the last
+    ``most`` are read besides the whole; ``most`` is at least the signs of the longest name, so nothing longer could fit.
+    """
+    df = df.withColumn("_whole", undecorated(F.col(value)))
+    df = df.withColumn("_parts", F.filter(F.split("_whole", r"[/\\]"), lambda p: p.rlike(r"[\p{L}\p{N}]")))
+    n = F.size("_parts")
+    tails = F.transform(F.sequence(F.greatest(F.lit(2), n - (most - 1)), n), lambda i: F.array_join(F.slice("_parts", i, n), "/"))
+    texts = F.when(n > 1, F.array_distinct(F.concat(F.array("_whole"), tails))).otherwise(F.array("_whole"))
+    return df.select(*(c for c in df.columns if c not in ("_whole", "_parts")), F.posexplode(texts).alias("reading", "text"))
 
-def readings_of(c: Column) -> Column:
-    """A slash ends a folder or parts words: the value whole, then without its first folders one by one."""
-    parts = F.split(F.regexp_replace(c, r"[/\\\s]+$", ""), r"[/\\]")
-    starts = F.sequence(F.greatest(F.lit(2), F.size(parts) - NAME_PARTS + 1), F.size(parts))
-    tails = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, NAME_PARTS), "/"))
-    return F.when(F.size(parts) > 1, F.array_distinct(F.concat(F.array(c), tails))).otherwise(F.array(c))
 
+def with_exact(df: DataFrame, text: str) -> DataFrame:
+    """Replaces the text by (exact): its words and numbers in order, parted by blanks.
 
-def words_of(c: Column) -> Column:
-    """Words and numbers in order; Roman numerals after the first word and numbers lose their dress."""
-    c = F.regexp_replace(c, r"\b(?:no|nr|num|number)\b[.\s]*(?=\d)", " ")
+    Roman numerals after the first word and numbers lose their dress. Each step is a column of its own, so that the
+    optimiser, which keeps costly columns that are used twice, computes it once.
+    """
+    c = F.regexp_replace(plain(F.col(text)), r"\b(?:no|nr|num|number)\b[.\s]*(?=\d)", " ")
     c = F.regexp_replace(c, r"['’`´]", "")
     # a word of three letters or more before a dot may be cut short and keeps the dot
     c = F.regexp_replace(c, r"(\p{L}{3,})\.", "$1\u0001 ")
-    parts = F.filter(F.split(c, r"[^\p{L}\p{N}\x01]+"), lambda w: w != "")
-    for _ in range(2):
-        parts = F.when((F.size(parts) > 1) & F.element_at(parts, 1).rlike(f"^(?:{LEADING})\x01?$"), F.slice(parts, 2, 1000)).otherwise(parts)
-    parts = F.transform(parts, lambda w: F.when(w.rlike(r"^\d+$"), F.regexp_replace(w, r"^0+(?=\d)", "")).otherwise(w))
+    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}])0+(?=\d+(?![\p{L}\p{N}]))", "")
+    c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}\x01]+", " "))
+    # what may stand before a name goes, twice at most and never the last word
+    c = F.regexp_replace(c, rf"^(?:(?:{LEADING})\x01? +(?=[^ ])){{1,2}}", "")
+    df = df.withColumn("_c", c)
     # a Roman numeral is a number only as the last word and after a word, not after a single letter
+    df = df.withColumn("_last", F.regexp_extract("_c", r"[^ ]{2} ([ivx]+)$", 1))
     roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    number = F.try_element_at(roman, F.try_element_at(parts, F.lit(-1)))
-    is_roman = number.isNotNull() & (F.length(F.try_element_at(parts, F.lit(-2))) > 1)
-    return F.when(F.coalesce(is_roman, F.lit(False)), F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(number))).otherwise(parts)
+    number = F.try_element_at(roman, F.col("_last"))
+    exact = F.coalesce(F.concat(F.regexp_replace("_c", r"[ivx]+$", ""), number), F.col("_c"))
+    return df.select(*(x for x in df.columns if x not in (text, "_c", "_last")), exact.alias("exact"))
 
 
 def edits(length: Column) -> Column:
@@ -97,9 +105,9 @@ def whole_edits(length: Column) -> Column:
     return F.when(length <= 4, 0).when(length <= 7, 1).otherwise(2)
 
 
-def similar_pairs(typed: DataFrame, reference: DataFrame, allowed) -> DataFrame:
-    """(typed, ref, d): all pairs of distinct strings within the edits allowed for the reference's length."""
-    ref = reference.select("ref").distinct().withColumn("k", allowed(F.length("ref"))).withColumn("n", F.length("ref"))
+def similar_pairs(typed: DataFrame, reference: DataFrame, allowed, most: int = 2) -> DataFrame:
+    """(typed, ref, d): all pairs of distinct strings within the edits allowed for the reference's length, ``most`` of them at most."""
+    ref = reference.select("ref").distinct().withColumn("k", F.least(F.lit(most), allowed(F.length("ref")))).withColumn("n", F.length("ref"))
     seg = ref.select("ref", "k", "n", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     # segment i of k+1: the lengths differ by one at most
     seg = seg.withColumn("at", F.floor(F.col("i") * F.col("n") / (F.col("k") + 1)).cast("int"))
@@ -108,7 +116,7 @@ def similar_pairs(typed: DataFrame, reference: DataFrame, allowed) -> DataFrame:
     # what to cut out of the typed strings: a row for each reference length and segment
     shapes = seg.select("k", "n", "at", "m").distinct()
     typed = typed.select("typed").distinct().withColumn("len", F.length("typed"))
-    lens = typed.select("typed", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - 2), F.col("len") + 2)).alias("n"))
+    lens = typed.select("typed", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - most), F.col("len") + most)).alias("n"))
     cut = lens.join(shapes, "n").filter(F.abs(F.col("len") - F.col("n")) <= F.col("k"))
     cut = cut.select("typed", "n", "k", "at", "m", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))).alias("p"))
     cut = cut.filter("p + m <= length(typed)").select("typed", "n", "at", F.expr("substring(typed, p + 1, m)").alias("piece"))
@@ -122,14 +130,16 @@ def similar_pairs(typed: DataFrame, reference: DataFrame, allowed) -> DataFrame:
 
 
 def _forms(entries: DataFrame, entry: str, names: list[str]) -> DataFrame:
-    """(fid, entry, words, letters, numbers, whole): each way an entry may be written."""
+    """(fid, entry, exact, words, letters, numbers, whole): each way an entry may be written."""
     forms = entries.select(F.col(entry).alias("entry"), F.explode(F.array(*names)).alias("form")).filter(not_blank(F.col("form")))
-    forms = forms.withColumn("words", words_of(plain(F.col("form")))).select("entry", "words").distinct()
+    forms = with_exact(forms, "form").filter("exact <> ''").distinct()
     return _split_words(forms).withColumn("fid", F.monotonically_increasing_id())
 
 
 def _split_words(df: DataFrame) -> DataFrame:
+    """Adds (words, letters, numbers, whole) of the exact text. An umlaut may be written with an e: both writings come out alike."""
     number = r"^\d+$"
+    df = df.withColumn("words", F.split(F.regexp_replace("exact", "(?<=[aou])e", ""), " "))
     return (
         df.withColumn("letters", F.filter("words", lambda w: ~w.rlike(number)))
         .withColumn("numbers", F.array_sort(F.filter("words", lambda w: w.rlike(number))))
@@ -142,49 +152,53 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     spark = rows.sparkSession
     scratch = Scratch(spark, "canonical")
     forms = scratch.write(_forms(entries, entry, names), "forms")
+    longest = forms.agg(F.max(F.length("exact"))).first()[0] or 0
     typed = rows.select(F.col(value).alias("value")).filter(not_blank(F.col("value"))).distinct()
     # the longest reading that fits counts
-    readings = readings_of(undecorated(F.col("value")))
-    typed = typed.select("value", F.posexplode(readings).alias("reading", "text"))
-    typed = typed.select("value", "reading", words_of(plain(F.col("text"))).alias("words"))
-    typed = scratch.write(_split_words(typed), "typed")
-    cleaned = typed.select("words", "letters", "numbers", "whole").filter(F.size("letters") > 0).distinct()
+    typed = scratch.write(with_exact(with_readings(typed, "value", longest + 1), "text"), "typed")
+    cleaned = _split_words(typed.select("exact").filter("exact <> ''").distinct())
     cleaned = scratch.write(cleaned.withColumn("wid", F.monotonically_increasing_id()), "cleaned")
 
+    # as it stands: letters that other stages fold or forgive part names here
+    own = forms.groupBy("exact").agg(F.min("entry").alias("entry"), F.max("entry").alias("other")).filter("entry = other").select("exact", "entry")
+    by_exact = scratch.write(cleaned.select("wid", "exact").join(own, "exact").select("wid", F.col("entry").cast("long").alias("entry")), "by_exact")
+    open_ = scratch.write(cleaned.filter(F.size("letters") > 0).join(by_exact, "wid", "left_anti"), "open")
+
     # by words: each typed word's candidates, then the entries that have a word for every one of them
     ref_words = forms.select(F.explode("letters").alias("ref"))
-    typed_words = cleaned.select(F.explode("letters").alias("as_typed")).distinct().withColumn("typed", F.replace("as_typed", F.lit("\x01"), F.lit("")))
+    typed_words = open_.select(F.explode("letters").alias("as_typed")).distinct().withColumn("typed", F.replace("as_typed", F.lit("\x01"), F.lit("")))
     near = similar_pairs(typed_words.select("typed"), ref_words, edits).join(typed_words, "typed").select("as_typed", "ref", "d")
     begun = ref_words.distinct().select("ref", F.explode(F.expr("transform(sequence(3, greatest(3, length(ref) - 1)), n -> substring(ref, 1, n))")).alias("typed"))
     cut = typed_words.filter(F.col("as_typed").endswith("\x01")).join(begun, "typed").select("as_typed", "ref", F.lit(0).alias("d"))
     pairs = near.unionByName(cut).groupBy("as_typed", "ref").agg(F.min("d").alias("d")).withColumnRenamed("as_typed", "typed")
     pairs = scratch.write(pairs, "pairs")
     in_forms = forms.select("fid", F.col("numbers").alias("form_numbers"), F.posexplode(F.array_distinct("letters")).alias("j", "ref"))
-    places = cleaned.select("wid", "numbers", F.posexplode("letters").alias("i", "typed"))
-    hits = places.join(pairs, "typed").join(in_forms, "ref").filter(F.size(F.array_except("numbers", "form_numbers")) == 0)
+    places = open_.select("wid", "numbers", F.posexplode("letters").alias("i", "typed"))
+    hits = places.join(pairs, "typed").join(in_forms, "ref")
+    hits = hits.filter((F.size("numbers") <= F.size("form_numbers")) & (F.size(F.array_except("numbers", "form_numbers")) == 0))
     # one exchange serves all three aggregations; a value has few rows, its words times their forms
-    hits = hits.select("wid", "fid", "i", (F.col("d") * 1000 + F.col("j")).cast("long").alias("dj")).repartition("wid")
+    hits = hits.select("wid", "fid", "i", (F.shiftleft(F.col("d").cast("long"), 32) + F.col("j")).alias("dj")).repartition("wid")
     best = hits.groupBy("wid", "fid", "i").agg(F.min("dj").alias("dj"))
     fit = best.groupBy("wid", "fid").agg(
-        F.count(F.lit(1)).alias("found"), F.size(F.collect_set(F.col("dj") % 1000)).alias("refs"), F.sum(F.floor(F.col("dj") / 1000)).alias("d")
+        F.count(F.lit(1)).alias("found"), F.size(F.collect_set(F.col("dj").bitwiseAND(0xFFFFFFFF))).alias("refs"), F.sum(F.shiftright("dj", 32)).alias("d")
     )
-    fit = fit.join(cleaned.select("wid", F.size("letters").alias("n"), F.size("words").alias("n_typed")), "wid")
+    fit = fit.join(open_.select("wid", F.size("letters").alias("n"), F.size("words").alias("n_typed")), "wid")
     fit = fit.filter("found = n AND refs = n").join(forms.select("fid", "entry", F.size("words").alias("size")), "fid")
     fit = fit.select("wid", "entry", "d", (F.col("size") > F.col("n_typed")).alias("absent"))
     by_words = scratch.write(_single(fit), "by_words")
-    scratch.release_shuffles()
 
     # whole, for values whose words fit no entry: parted, joined and dotted writings
-    still = cleaned.join(by_words, "wid", "left_anti")
+    still = open_.join(by_words, "wid", "left_anti")
     same = similar_pairs(still.select(F.col("whole").alias("typed")), forms.select(F.col("whole").alias("ref")), whole_edits)
     whole = still.select("wid", "numbers", F.col("whole").alias("typed")).join(same, "typed")
     whole = whole.join(forms.select("entry", "numbers", F.col("whole").alias("ref")), ["ref", "numbers"])
     by_whole = _single(whole.select("wid", "entry", "d", F.lit(False).alias("absent")))
-    found = by_words.unionByName(by_whole).filter("entry IS NOT NULL").join(cleaned.select("wid", "words"), "wid")
-    mapped = typed.join(found.select("words", "entry"), "words").groupBy("value").agg(F.min(F.struct("reading", "entry")).alias("m"))
+    found = by_exact.unionByName(by_words).unionByName(by_whole).filter("entry IS NOT NULL").join(cleaned.select("wid", "exact"), "wid")
+    mapped = typed.join(found.select("exact", "entry"), "exact").groupBy("value").agg(F.min(F.struct("reading", "entry")).alias("m"))
     mapped = scratch.write(mapped.select("value", F.col("m.entry").alias("entry")), "mapped")
-    open_values = typed.filter("reading = 0").select("value").join(mapped, "value", "left_anti").withColumn("entry", F.lit(-1).cast("long"))
-    return mapped.unionByName(open_values)
+    values = scratch.write(typed.filter("reading = 0").select("value").join(mapped, "value", "left").select("value", F.coalesce("entry", F.lit(-1).cast("long")).alias("entry")), "values")
+    scratch.drop(forms, typed, cleaned, by_exact, open_, pairs, by_words, mapped)
+    return values
 
 
 def _single(fits: DataFrame) -> DataFrame:

@@ -62,3 +62,11 @@ def test_the_segment_join_misses_no_pair(spark):
     allowed = lambda n: 0 if n <= 3 else 1 if n == 4 else 2
     want = {(a, b) for a in typed for b in ref if (d := distance(a, b)) <= allowed(len(b)) and (d < 2 or sorted(a) == sorted(b) or len(b) >= 7)}
     assert got == want
+
+
+def test_exact_writings_come_before_folded_ones(spark):
+    topics = spark.createDataFrame([(1, "Coed", None), (2, "Cod", None), (3, "Value Poem", None)], "topic_id long, name string, aka string")
+    typed = ["Coed", "cod", "Value poem", "Valü Pom", "a/" * 40 + "Cod", "x/" * 5000 + "Value Poem", "Cod 5", "Cod/5/5", " ".join(["cod"] * 1500)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "id long, target string")
+    got = {r["value"]: r["entry"] for r in canonical.map_values(rows, "target", topics, "topic_id", ["name", "aka"]).collect()}
+    assert [got[t] for t in typed] == [1, 2, 3, 3, 2, 3, -1, -1, -1]
