@@ -6,8 +6,8 @@ hangs in a propagation forest under the least candidate it saw. Candidates seen
 connected and go on, so the graph shrinks geometrically. When no edge is left, each surviving seed
 names its group, and the seeds' identifiers flow down the forest, last round first.
 
-Vertices are 64-bit hashes of the keys; the hash is reseeded until it is injective on the keys, so no
-two keys can be mixed up. Hash order also makes the rounds few on long chains of ordered names. Hub
+Vertices are 64-bit hashes of the keys. Among n keys some n*n/2**65 pairs of hashes meet (eleven of 20 billion
+keys); the keys concerned, and only they, are hashed anew until all differ, so no two keys can be mixed up. Hash order also makes the rounds few on long chains of ordered names. Hub
 vertices are joined apart from the rest (``runtime.skew_join``).
 
 Defined results: pairs with a null or empty end are ignored; a self-pair makes its vertex appear;
@@ -19,36 +19,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, heavy_keys, is_filled, skew_join
+from ..runtime import Scratch, is_filled, skew_join
 
 
-def _hashed(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(vertices(id, name), edges(u, v) with u < v)."""
-    for seed in range(64):
-        h = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: E731, B023
-        names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        vertices = scratch.write(names.select(h("name").alias("id"), "name"), "vertices")
-        if vertices.select("id").distinct().count() == vertices.count():
-            edges = pairs.select(h("a").alias("x"), h("b").alias("y")).filter("x <> y")
-            edges = edges.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-            return vertices, scratch.write(edges, "edges")
-        scratch.drop(vertices)
-    raise RuntimeError("no injective hash was found")
+def _hash(c: str, seed: int = 0):
+    return F.xxhash64(F.lit(seed), F.col(c))
+
+
+def _hashed(pairs: DataFrame, scratch: Scratch, hash_of=_hash) -> tuple[DataFrame, DataFrame]:
+    """(vertices(id, name), edges(u, v) with u < v). Only names whose hashes meet are hashed anew, until all ids differ."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    vertices = scratch.write(names.select(hash_of("name").alias("id"), "name"), "vertices")
+    moved = None  # (name, moved): ids of the names that were hashed anew
+    seed = 0
+    while (meet := vertices.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")).take(1):
+        seed += 1
+        clash = vertices.join(meet, "id", "left_semi").select("name", hash_of("name", seed).alias("moved"))
+        moved = scratch.write(clash if moved is None else moved.join(clash, "name", "left_anti").unionByName(clash), "moved")
+        old = vertices
+        vertices = scratch.write(old.join(moved, "name", "left").select(F.coalesce("moved", "id").alias("id"), "name"), "vertices")
+        scratch.drop(old)
+    edges = pairs.select("a", "b", hash_of("a").alias("x"), hash_of("b").alias("y"))
+    if moved is not None:
+        for name, out in (("a", "x"), ("b", "y")):
+            edges = edges.join(moved.withColumnRenamed("name", name), name, "left").withColumn(out, F.coalesce("moved", out)).drop("moved")
+    edges = edges.select("x", "y").filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    return vertices, scratch.write(edges, "edges")
+
+
+#: A vertex with more than 1/500 of a round's pairs, and over so many, is a hub: 500 of them at most by arithmetic.
+HUB_SHARE, HUB_LEAST = 500, 50_000
 
 
 def _prune(graph: DataFrame, scratch: Scratch, round_no: int) -> tuple[DataFrame, DataFrame]:
-    """One round: (edges among the surviving candidates, forest(parent, child) of those that left)."""
+    """One round: (edges among the surviving candidates, forest(parent, child) of those that left).
+
+    The degrees that tell the hubs are counted along with the minima.
+    """
     both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    minima = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    hubs = heavy_keys(both, "u")
-    pointed = skew_join(both, minima, "u", heavy=hubs).select(F.col("v").alias("u"), "m")
+    minima = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    minima = scratch.write(minima, f"minima{round_no}")
+    floor = max(HUB_LEAST, 2 * graph.count() // HUB_SHARE)
+    hubs = [r["u"] for r in minima.filter(F.col("n") > floor).select("u").collect()]
+    pointed = skew_join(both, minima.select("u", "m"), "u", heavy=hubs).select(F.col("v").alias("u"), "m")
     chosen = scratch.write(pointed.unionByName(minima.select("u", "m")).distinct(), f"chosen{round_no}")
-    best = chosen.groupBy("u").agg(F.min("m").alias("least"), F.max(F.col("m") == F.col("u")).alias("stays"))
-    forest = scratch.write(best.filter(~F.col("stays")).select(F.col("least").alias("parent"), F.col("u").alias("child")), f"forest{round_no}")
-    rest = skew_join(chosen, best.select("u", "least"), "u").filter("m <> least")
+    best = chosen.groupBy("u").agg(F.min("m").alias("least"), F.max(F.col("m") == F.col("u")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    best = scratch.write(best, f"best{round_no}")
+    floor = max(HUB_LEAST, chosen.count() // HUB_SHARE)
+    hubs = [r["u"] for r in best.filter(F.col("n") > floor).select("u").collect()]
+    rest = skew_join(chosen, best.select("u", "least"), "u", heavy=hubs).filter("m <> least")
     edges = rest.select(F.col("least").alias("u"), F.col("m").alias("v")).distinct()
     edges = scratch.write(edges, f"edges{round_no}")
-    scratch.drop(chosen)
+    scratch.drop(chosen, minima)
+    forest = best.filter(~F.col("stays")).select(F.col("least").alias("parent"), F.col("u").alias("child"))
+    forest._scratch_path = best._scratch_path
     return edges, forest
 
 

@@ -63,3 +63,19 @@ def test_hot_keys_are_joined_apart(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = sorted(map(str, skew_join(left, right, "k", how, hot).collect()))
         assert a == sorted(map(str, left.join(right, "k", how).collect())), how
+
+
+def test_names_whose_hashes_meet_are_parted(spark):
+    from pyspark.sql import functions as F
+
+    from loreloom.runtime import Scratch
+
+    def few(c, seed=0):  # four hashes only, and more with each further seed
+        return F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(4 + 400 * seed))
+
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(30)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    vertices, edges = components._hashed(df, Scratch(spark, "meet"), few)
+    name = {r["id"]: r["name"] for r in vertices.collect()}
+    assert len(name) == 31
+    assert {frozenset((name[r["u"]], name[r["v"]])) for r in edges.collect()} == {frozenset(p) for p in pairs}
