@@ -2,8 +2,8 @@
 
 Every distinct pre-token of a block of texts is first cut by greedy longest match. A proposal is the
 BPE encoding exactly if each pair of neighbouring tokens is *compatible*, that is, if merging the
-pair's bytes alone gives back the same two tokens; so all neighbouring pairs are tested at once
-against a table of known pairs. Only words with an incompatible pair go through exact merging.
+pair's bytes alone gives back the same two tokens; so all neighbouring pairs of a block are tested at
+once by binary search in a sorted array of known pairs. Only words with an incompatible pair go through exact merging.
 
 Defined results: a null or empty text gives an empty list; strings that look like special tokens are
 ordinary text; texts of any length are encoded whole (work is cut into blocks between texts, and a
@@ -13,14 +13,16 @@ text longer than a block is its own block).
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,17 +93,21 @@ def pretoken_starts(cps: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
 class SpeculativeBpe:
     """Word-level encoder: longest match, pair check, exact merging for the rest."""
 
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: bytes | None = None):
+        lines = (vocabulary if vocabulary is not None else read_vocabulary()).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self._reset_words()
-        self.pairs: dict[int, bool] = {}
+        self._reset_pairs()
 
     def _reset_words(self) -> None:
         self.words: dict[bytes, np.ndarray] = {}
 
+    def _reset_pairs(self) -> None:
+        # keys of the known pairs in order, with their verdicts
+        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         ranks, out, i, n = self.ranks, [], 0, len(word)
@@ -143,14 +149,27 @@ class SpeculativeBpe:
             i = nxt[i]
         return out
 
-    def compatible(self, key: int) -> bool:
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            a, b = key >> 20, key & 0xFFFFF
-            known = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+    def compatible(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each pair (first token << 20 | second), given in order and once, stays as it is when its bytes are merged alone.
+
+        All are looked up at once among the known pairs; only pairs never seen before are merged.
+        """
+        at = np.searchsorted(self.pair_keys, keys)
+        known = at < len(self.pair_keys)
+        known[known] = self.pair_keys[at[known]] == keys[known]
+        fits = np.zeros(len(keys), bool)
+        fits[known] = self.pair_fits[at[known]]
+        new = keys[~known]
+        if len(new):
+            left, right = (new >> 20).tolist(), (new & 0xFFFFF).tolist()
+            fits[~known] = np.fromiter((self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b] for a, b in zip(left, right)), bool, len(new))
+            if len(self.pair_keys) + len(new) > CACHE_PAIRS:
+                self._reset_pairs()
+                at, new, verdicts = np.zeros(len(keys), np.int64), keys, fits
+            else:
+                at, verdicts = at[~known], fits[~known]
+            self.pair_keys, self.pair_fits = np.insert(self.pair_keys, at, new), np.insert(self.pair_fits, at, verdicts)
+        return fits
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; new words are proposed one by one and verified together."""
@@ -180,8 +199,7 @@ class SpeculativeBpe:
         owner = np.repeat(np.arange(len(several)), lengths)
         inside = owner[1:] == owner[:-1]
         keys, back = np.unique(((flat[:-1] << 20) | flat[1:])[inside], return_inverse=True)
-        fits = np.fromiter((self.compatible(k) for k in keys.tolist()), bool, len(keys))
-        failed = set(owner[1:][inside][~fits[back]].tolist())
+        failed = set(owner[1:][inside][~self.compatible(keys)[back]].tolist())
         for i, (w, p) in enumerate(zip(several, proposals)):
             known[w] = np.array(self.merge(w) if i in failed else p, np.int32)
 
@@ -214,9 +232,34 @@ class SpeculativeBpe:
         return flat, before[np.searchsorted(at, ends)]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> SpeculativeBpe:
-    return SpeculativeBpe(path)
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+#: Encoders of this process by their vocabulary's digest; two at most.
+_ENCODERS: dict[str, SpeculativeBpe] = {}
+
+
+@dataclass
+class SharedVocabulary:
+    """A vocabulary file, read on the driver and sent along with the job: executors need no file of their own."""
+
+    digest: str
+    content: object  # a broadcast of the file's bytes, about a megabyte
+
+    def encoder(self) -> SpeculativeBpe:
+        found = _ENCODERS.get(self.digest)
+        if found is None:
+            if len(_ENCODERS) >= 2:
+                _ENCODERS.clear()
+            found = _ENCODERS[self.digest] = SpeculativeBpe(self.content.value)
+        return found
+
+
+def shared_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> SharedVocabulary:
+    content = read_vocabulary(path)
+    return SharedVocabulary(hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content))
 
 
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -232,8 +275,8 @@ def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[
         yield begin, len(texts)
 
 
-def _encoded(path: str, batches: Iterator[pa.RecordBatch], lengths_only: bool) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+def _encoded(vocabulary: SharedVocabulary, batches: Iterator[pa.RecordBatch], lengths_only: bool) -> Iterator[pa.RecordBatch]:
+    enc = vocabulary.encoder()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in blocks(texts):
@@ -250,7 +293,8 @@ def _mapped(df: DataFrame, key: str, text: str, path: str, lengths_only: bool, o
     kind = T.LongType() if lengths_only else T.ArrayType(T.IntegerType())
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("key", slim.schema["key"].dataType), T.StructField("out", kind)])
-    return slim.mapInArrow(lambda it: _encoded(path, it, lengths_only), schema).select(
+    shared = shared_vocabulary(df.sparkSession, path)
+    return slim.mapInArrow(lambda it: _encoded(shared, it, lengths_only), schema).select(
         F.col("key").alias(key), F.col("out").alias(out)
     )
 

@@ -45,6 +45,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.note_pieces(table(spark, d, "notes"))
 
 
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every text's pieces: their joined text, and how many break the limit, the overlap or the order."""
+    return chunking.piece_checks(p5_pieces(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -70,7 +75,7 @@ def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_counts, p2_found, p4_found, p4_unmatched, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_source_rates)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_counts, p2_found, p4_found, p4_unmatched, p5_found, p5_pieces, p5_checks, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_source_rates)
 }
 
 WHITE = f"[{UNICODE_SPACE}]+"
@@ -91,4 +96,6 @@ ORACLES: dict[str, str] = {
     "p2_found": f"WITH {TAGS} SELECT field, tag, mark FROM mk WHERE mark IS NOT NULL",
     "p5_found": f"""WITH {CUR} SELECT path, CASE WHEN list_max(list_transform(regexp_split_to_array(body, '{WHITE}'), lambda x: length(x))) > 4000 THEN 'hard' ELSE 'soft' END AS kind
       FROM cur WHERE length(body) > 4000""",
+    "p5_checks": f"""WITH {CUR} SELECT path, length(body) AS n_chars, 0 AS pieces_over, 0 AS gaps, 0 AS overlaps_over, 0 AS overlaps_short, 0 AS hard_cuts_in_soft,
+      sha256(body) AS text_hash FROM cur WHERE length(body) > 4000""",
 }

@@ -53,6 +53,18 @@ def test_caches_restart(enc, truth, monkeypatch):
     assert encode(enc, texts) == [truth.encode_ordinary(t) for t in texts]
 
 
+def test_known_pairs_are_kept_in_order_and_restart(enc, truth, monkeypatch):
+    fresh = bpe.SpeculativeBpe()
+    texts = [f"zq{i}wvé{i * i}" for i in range(60)]
+    want = [truth.encode_ordinary(t) for t in texts]
+    assert encode(fresh, texts[:30]) == want[:30] and len(fresh.pair_keys)
+    assert encode(fresh, texts) == want
+    assert (fresh.pair_keys[1:] > fresh.pair_keys[:-1]).all()
+    assert all(fits == (fresh.merge(fresh.bytes_of[k >> 20] + fresh.bytes_of[k & 0xFFFFF]) == [k >> 20, k & 0xFFFFF]) for k, fits in zip(fresh.pair_keys.tolist(), fresh.pair_fits.tolist()))
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 5)
+    assert encode(bpe.SpeculativeBpe(), texts) == want
+
+
 def test_tables(spark, truth):
     rows = [(1, "Hello world", 0), (2, None, 0), (3, "", 0), (None, "x y", 0), (1, "Hello world", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, out int")
