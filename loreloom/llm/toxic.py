@@ -2,7 +2,7 @@
 
 Every word gets a score: the log-odds of its longest known n-gram between toxic passages and ordinary
 text, with Dirichlet priors (an n-gram's prior is what its shorter n-grams predict, a word's prior the
-ordinary text and a short word list). Ordinary words score below zero on average, so a linear scan over
+ordinary text). No word list takes part unless the caller gives one (``seed_words``). Ordinary words score below zero on average, so a linear scan over
 a text finds every maximal segment whose total cannot be raised by growing or shrinking it. The best
 segment of a text is calibrated by an extreme-value law fitted to ordinary texts, which grows with the
 text's length; a text is toxic if chance would so rarely give such a segment.
@@ -14,14 +14,15 @@ the sample's ordinary texts, too, so words outside the sample have no count of t
 all documents, in one pass without a shuffle.
 
 Defined results: null and empty texts score 0 and are not toxic; a document with several reviews takes
-their majority, a draw is left out; without reviews of both kinds the word list alone decides.
+their majority, a draw is left out; without reviews of both kinds all documents score 0, unless words are given.
 """
 
 from __future__ import annotations
 
 import pickle
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -39,21 +40,15 @@ from . import bpe
 MAX_REVIEWED = 20_000
 #: Reviewed documents longer than this many characters are left out of the fit (never out of the scoring).
 MAX_CHARS = 200_000
+#: Characters of reviewed documents that the fit takes, at most: the sample ends, in hash order, where they are full.
+MAX_TOTAL_CHARS = 400_000_000
+#: Words that have a number of their own, the most frequent ones if the sample has more; n-gram keys have 20 bits a word.
+MAX_WORDS = 1 << 20
 #: Words and n-grams seen less often in the reviewed texts have no score of their own, however many reviews there are.
 LEAST = 2
 #: Natural logarithm of the chance below which a segment counts; lowered where held-out reviews say so.
 LOG_CHANCE = -7.0
 
-# Words that insult, degrade or are sexually explicit in most uses: fixed values, plain spelling.
-SEED_WORDS = """
-asshole arsehole bastard bitch cunt dickhead dumbass fuck fucking fucker motherfucker whore slut wanker twat prick scumbag cretin moron
-imbecile retard faggot nigger cocksucker blowjob horny nudes tits pussy
-arschloch wichser hurensohn fotze schlampe ficken fick missgeburt abschaum dreckskerl nutte titten verpiss
-connard connasse salope pute encule batard crétin abruti salaud enfoire nique baiser
-gilipollas cabron puta hijo puta mierda pendejo imbecil joder follar maricon escoria zorra
-сука блядь пидор мразь ублюдок хуй ебать трахать урод тварь кретин
-""".split()
-
 LEET = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 # Latin letters and the Cyrillic and Greek ones that look alike: fixed values.
 LATIN, CYRILLIC, GREEK = "abekmhopctyxijs", "авекмнорстухіјѕ", "αβεκμηορςτυχιϳѕ"
@@ -291,8 +286,10 @@ def log_odds(y1: np.ndarray, n1: float, y0: np.ndarray, n0: float, prior: np.nda
     return np.sign(d) * np.maximum(0.0, np.abs(d) - 0.5 * sd)
 
 
-def fit(texts: list[str], toxic: list[bool], least: int = LEAST, rounds: int = 3) -> ToxicModel:
-    """Scores and calibration from labelled texts. N-grams seen less than ``least`` times have no score of their own."""
+def fit(texts: list[str], toxic: list[bool], least: int = LEAST, rounds: int = 3, seed_words: Sequence[str] = ()) -> ToxicModel:
+    """Scores and calibration from labelled texts. N-grams seen less than ``least`` times have no score of their own.
+
+    ``seed_words`` are words that the caller knows to be abusive; their prior leans to it."""
     model = ToxicModel()
     y = np.array(toxic, bool)
     parts = [(a, cut_words(texts[a:b])) for a, b in bpe.blocks(texts)]
@@ -303,8 +300,11 @@ def fit(texts: list[str], toxic: list[bool], least: int = LEAST, rounds: int = 3
             p = plain_word(form)
             if p.isalpha():
                 counts[p] = counts.get(p, 0) + k
-    seeds = {plain_word(w) for w in SEED_WORDS}
-    vocabulary = [UNKNOWN, NUMBER, CODE, MASK, *sorted({w for w, k in counts.items() if k >= least} | seeds)]
+    seeds = {plain_word(w) for w in seed_words}
+    own = {w: k for w, k in counts.items() if k >= least and w not in seeds}
+    if len(own) > MAX_WORDS - len(seeds) - 4:
+        own = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[: MAX_WORDS - len(seeds) - 4])
+    vocabulary = [UNKNOWN, NUMBER, CODE, MASK, *sorted(own.keys() | seeds)]
     model.ids = {w: i for i, w in enumerate(vocabulary)}
     v = len(vocabulary)
     seeded = np.zeros(v)
@@ -312,7 +312,7 @@ def fit(texts: list[str], toxic: list[bool], least: int = LEAST, rounds: int = 3
     model.word_score = np.where(seeded > 0, 3.0, -0.5)
     model.masks = _masks(vocabulary, model.word_score)
     if not (y.any() and (~y).any()):
-        model.rate, model.log_k = 2.0, -1.0  # two words of the list close together are enough
+        model.rate, model.log_k = 2.0, -1.0  # two given words close together are enough
         return model
 
     if not parts:
@@ -441,16 +441,32 @@ def _best_cut(chance: np.ndarray, y: np.ndarray) -> float:
     return float(min(LOG_CHANCE, (here + after) / 2))
 
 
-def fit_with_cut(texts: list[str], toxic: list[bool], least: int = LEAST) -> ToxicModel:
-    """The model of all reviewed texts, with the cut that a model of every other text finds best on the rest."""
-    model = fit(texts, toxic, least)
-    y = np.array(toxic, bool)
-    if min(y[0::2].sum(), y[1::2].sum()) < 20:
-        return model
-    half = fit(texts[0::2], toxic[0::2], least)
-    rest = texts[1::2]
-    chance = np.concatenate([-np.log(10) * score_block(half, rest[a:b])[0] for a, b in bpe.blocks(rest)])
-    model.log_chance = _best_cut(chance, y[1::2])
+def in_second_half(text: str) -> bool:
+    """Which half a reviewed text belongs to: by the least hash of its runs of five words, so copies and most near copies share one."""
+    words = regex.findall(r"\p{L}+", text.lower())
+    runs = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return min(zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs) % 2 == 1
+
+
+def held_out(texts: list[str], toxic: list[bool], least: int = LEAST, seed_words: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray] | None:
+    """(log chance, label) of the second half's texts by a model of the first half; None if either has few toxic texts."""
+    y, second = np.array(toxic, bool), np.fromiter(map(in_second_half, texts), bool, len(texts))
+    if min(y[second].sum(), y[~second].sum()) < 20:
+        return None
+    half = fit([t for t, s in zip(texts, second) if not s], y[~second].tolist(), least, seed_words=seed_words)
+    rest = [t for t, s in zip(texts, second) if s]
+    return np.concatenate([-np.log(10) * score_block(half, rest[a:b])[0] for a, b in bpe.blocks(rest)]), y[second]
+
+
+def fit_with_cut(texts: list[str], toxic: list[bool], least: int = LEAST, seed_words: Sequence[str] = ()) -> ToxicModel:
+    """The model of all reviewed texts, with the cut that a model of half of them finds best on the other half.
+
+    With fewer than 20 toxic texts in a half the cut stays ``LOG_CHANCE``; that holds for the fit alone.
+    """
+    model = fit(texts, toxic, least, seed_words=seed_words)
+    tried = held_out(texts, toxic, least, seed_words)
+    if tried is not None:
+        model.log_chance = _best_cut(*tried)
     return model
 
 
@@ -505,9 +521,9 @@ SCHEMA = T.StructType([
 ])
 
 
-def fit_reviewed(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED, max_chars: int = MAX_CHARS) -> ToxicModel:
-    """The model of at most ``max_reviewed`` reviewed documents of at most ``max_chars`` characters each, taken in
-    hash order of their ids. One task on an executor fits it, so the driver holds the finished scores alone."""
+def fit_reviewed(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED, max_chars: int = MAX_CHARS, seed_words: Sequence[str] = ()) -> ToxicModel:
+    """The model of at most ``max_reviewed`` reviewed documents of at most ``max_chars`` characters each (and about
+    ``MAX_TOTAL_CHARS`` together), taken in hash order of their ids. One task on an executor fits it, so the driver holds the finished scores alone."""
     votes = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
     sample = votes.filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).alias("is_toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_reviewed)
@@ -515,19 +531,23 @@ def fit_reviewed(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REV
     rows = docs.select("doc_id", "text").filter((F.col("text") != "") & (F.length("text") <= max_chars)).join(F.broadcast(sample), "doc_id")
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held, total = [], 0
+        for batch in batches:  # read to the end, kept up to the bound
+            if total < MAX_TOTAL_CHARS:
+                held.append(batch)
+                total += pc.sum(pc.utf8_length(batch["text"])).as_py() or 0
         data = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")]) if held else None
-        model = fit_with_cut(data["text"].to_pylist(), data["is_toxic"].to_pylist()) if data is not None else fit([], [])
+        model = fit_with_cut(data["text"].to_pylist(), data["is_toxic"].to_pylist(), seed_words=seed_words) if data is not None else fit([], [], seed_words=seed_words)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = rows.repartition(1).mapInArrow(fit_all, "model binary").collect()
-    return pickle.loads(made[0]["model"]) if made else fit([], [])  # noqa: S301  made just above
+    made = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(fit_all, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [], seed_words=seed_words)  # noqa: S301  made just above
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, max_reviewed: int = MAX_REVIEWED, seed_words: Sequence[str] = ()) -> DataFrame:
     """(doc_id, source, score, toxic, passages) of every document."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit_reviewed(docs, labels, max_reviewed))
+    shared = spark.sparkContext.broadcast(fit_reviewed(docs, labels, max_reviewed, seed_words=seed_words))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

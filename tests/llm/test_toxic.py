@@ -48,7 +48,10 @@ def test_words_seen_twice_keep_their_score_at_every_size(monkeypatch):
     used, inner = [], tx.fit
     monkeypatch.setattr(tx, "fit", lambda t, b, least, **more: used.append((len(t), least)) or inner(t, b, least, **more))
     tx.fit_with_cut(texts, y)
-    assert used == [(1200, tx.LEAST), (600, tx.LEAST)]
+    first = sum(not tx.in_second_half(t) for t in texts)
+    assert used == [(1200, tx.LEAST), (first, tx.LEAST)] and 300 < first < 900
+    # copies, whatever their case and layout, share a half
+    assert all(tx.in_second_half(t) == tx.in_second_half("  " + t.upper().replace(" ", "\n")) for t in texts[:50])
 
 
 def test_linear_scan_finds_all_maximal_segments():
@@ -81,6 +84,12 @@ def test_best_segments_do_not_cross_texts():
     assert tx.best_segments(s, text, 5).tolist() == [3.0, 0.0, 7.0, 2.0, 0.0]
 
 
+def test_bounds_of_the_fit(monkeypatch):
+    monkeypatch.setattr(tx, "MAX_WORDS", 12)
+    m = tx.fit(*make(200, 1))
+    assert len(m.ids) == 12 and "the" in m.ids
+
+
 def test_tables(spark):
     texts, y = make(200, 3)
     docs = [(i, t, "s1" if i % 2 else "s2", 1) for i, t in enumerate(texts)] + [(900, None, "s1", 1), (901, "", None, 1), (902, "​ \n", "s1", 1), (903, "ok " * 40000, "s1", 1)]
@@ -98,6 +107,7 @@ def test_tables(spark):
 def test_without_reviews_or_documents(spark):
     df = spark.createDataFrame([(1, "you fucking asshole, go to hell you whore", "s"), (2, "the plan is late", "s")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([], "doc_id long, toxic int, reviewer string")
-    rows = {r["doc_id"]: r["toxic"] for r in tx.toxic_scores(df, labels).collect()}
+    rows = {r["doc_id"]: r["toxic"] for r in tx.toxic_scores(df, labels, seed_words=["fucking", "asshole", "whore"]).collect()}
     assert rows == {1: True, 2: False}
+    assert all(r["score"] == 0 and not r["toxic"] for r in tx.toxic_scores(df, labels).collect())
     assert tx.toxic_scores(df.limit(0), labels).collect() == []
