@@ -390,7 +390,8 @@ def _distinct(gram: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
     """In how many units each n-gram occurs."""
     if not len(gram):
         return np.zeros(n)
-    pairs = np.unique(gram.astype(np.int64) * (int(unit.max()) + 1) + unit)
+    pairs = np.sort(gram.astype(np.int64) * (int(unit.max()) + 1) + unit)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
     return np.bincount(pairs // (int(unit.max()) + 1), minlength=n).astype(float)
 
 
@@ -441,11 +442,20 @@ def _best_cut(chance: np.ndarray, y: np.ndarray) -> float:
     return float(min(LOG_CHANCE, (here + after) / 2))
 
 
+@lru_cache(maxsize=500_000)
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 def in_second_half(text: str) -> bool:
     """Which half a reviewed text belongs to: by the least hash of its runs of five words, so copies and most near copies share one."""
-    words = regex.findall(r"\p{L}+", text.lower())
-    runs = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
-    return min(zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs) % 2 == 1
+    h = np.fromiter(map(_word_hash, regex.findall(r"\p{L}+", text.lower())), np.uint64)
+    h = np.concatenate([h, np.zeros(max(0, 5 - len(h)), np.uint64)])
+    runs = np.zeros(len(h) - 4, np.uint64)
+    for k in range(5):  # a rolling product, in which the order of words counts
+        runs = (runs + h[k : len(h) - 4 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return bool(int(runs.min()) >> 7 & 1)
 
 
 def held_out(texts: list[str], toxic: list[bool], least: int = LEAST, seed_words: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray] | None:
