@@ -46,7 +46,7 @@ class Engine:
 
     def search(self, query: str, limit: int = 10, tag: str | None = None, path_prefix: str | None = None) -> DataFrame:
         self._catch_up()
-        return search.search(self.notes, query, limit, tag, path_prefix)
+        return search.search(self.index.full_text(), query, limit, tag, path_prefix)
 
     def web_search(self, query: str, limit: int | None = None) -> DataFrame:
         """As a search box asks: nothing below two characters, at most fifty results."""
@@ -61,7 +61,7 @@ class Engine:
 
     def topic(self, text: str, limit: int = 15, path_prefix: str | None = None) -> DataFrame:
         self._catch_up()
-        return context.topic(self.notes, self.links, text, limit, path_prefix)
+        return context.topic(self.index.full_text(), self.links, text, limit, path_prefix)
 
     def stats(self) -> DataFrame:
         self._catch_up()

@@ -1,7 +1,8 @@
 """Markdown as column expressions; everything but YAML stays inside the JVM.
 
 Regular expressions use (?md) so that ``^`` and ``$`` know only the line feed, and spell out the
-ASCII white space, because the JVM's ``\\s`` also has the vertical tab.
+ASCII white space, because the JVM's ``\\s`` also has the vertical tab. The patterns of links, tags and
+stripped markup are fixed values.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import UNICODE_SPACE
+
 WS = r"[\t\n\f\r ]"
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
-TAG = rf"(?:^|{WS})#([a-zA-Z][0-9A-Za-z_/-]*)"
+TAG = rf"(?:^|{WS})#([a-zA-Z][\w/-]*)"
 
 
 def _c(c: Column | str) -> Column:
@@ -25,7 +28,7 @@ def _c(c: Column | str) -> Column:
 
 #: Unicode white space at both ends; ``trim`` alone knows only the blank.
 def strip(c: Column | str) -> Column:
-    space = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    space = f"[{UNICODE_SPACE}]+"
     return F.regexp_replace(_c(c), rf"\A{space}|{space}\z", "")
 
 
@@ -86,7 +89,7 @@ def heading_title(body: Column | str) -> Column:
 
 def title(raw: Column | str, path: Column | str, frontmatter: Column) -> Column:
     """Frontmatter title, else first heading, else file name."""
-    own = F.when(F.get_json_object(frontmatter, "$.title").isNotNull() & frontmatter.rlike(r'"title": "'), F.get_json_object(frontmatter, "$.title"))
+    own = F.when(_kind(frontmatter, "title") == "STRING", F.get_json_object(frontmatter, "$.title"))
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(heading_title(body_text(raw)), F.lit("")), basename_no_ext(path))
 
 
@@ -99,12 +102,17 @@ def inline_tags(body: Column | str) -> Column:
     return F.regexp_extract_all(_c(body), F.lit(TAG), F.lit(1))
 
 
+def _kind(frontmatter: Column, name: str) -> Column:
+    """The type of a block's own entry of that name, whatever other entries hold; null without one."""
+    value = F.try_variant_get(F.try_parse_json(frontmatter), f"$.{name}", "variant")
+    return F.when(value.isNotNull(), F.schema_of_variant(value))
+
+
 def frontmatter_tags(frontmatter: Column) -> Column:
     """A list's members, or a string's parts between commas and white space."""
-    listed = F.from_json(F.get_json_object(frontmatter, "$.tags"), "array<string>")
-    text = F.get_json_object(frontmatter, "$.tags")
-    is_list = frontmatter.rlike(r'"tags": \[')
-    return F.coalesce(F.when(is_list, listed).when(frontmatter.rlike(r'"tags": "'), F.split(text, rf"(?:,|{WS})+")), F.array().cast("array<string>"))
+    kind, text = _kind(frontmatter, "tags"), F.get_json_object(frontmatter, "$.tags")
+    listed = F.from_json(text, "array<string>")
+    return F.coalesce(F.when(kind.startswith("ARRAY"), listed).when(kind == "STRING", F.split(text, r"[,\t\n\f\r ]+")), F.array().cast("array<string>"))
 
 
 def tags(raw: Column | str, frontmatter: Column) -> Column:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VOWELS = "aeiou"
 
@@ -101,21 +101,22 @@ def porter(word: str) -> str:
     return w
 
 
-def _stems(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in lists:
-        yield s.map(lambda ts: [porter(t) for t in ts] if ts is not None else None)
+WORD = regex.compile(r"[\p{L}\p{N}\p{Co}\u0300-\u036F]+")
+ACCENTS = regex.compile(r"[\u0300-\u036F]+")
 
 
-stem_tokens = F.pandas_udf(_stems, T.ArrayType(T.StringType()))
+def best_window(text: str, wanted: set[tuple[str, bool]], size: int = 40, opening: str = ">>>", closing: str = "<<<", more: str = "...") -> str:
+    """The run of ``size`` words with the most different wanted words, each wanted word marked.
 
+    Wanted are (stem, whether it is a prefix). Words are cut and folded as in ``operators.search.tokens``.
+    """
+    from ..operators.search import marked_letters
 
-def best_window(text: str, wanted: set[str], size: int = 40, opening: str = ">>>", closing: str = "<<<", more: str = "...") -> str:
-    """The run of ``size`` words with the most different wanted words, each wanted word marked."""
-    from ..operators.search import plain_tokens
-
-    spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
-    folded = ["".join(plain_tokens(text[a:b])) for a, b in spans]
-    hits = [i for i, w in enumerate(folded) if w in wanted or porter(w) in wanted]
+    fold = str.maketrans(*marked_letters())
+    stems, begins = {w for w, prefix in wanted if not prefix}, tuple(w for w, prefix in wanted if prefix)
+    spans = [m.span() for m in WORD.finditer(text)]
+    folded = [porter(ACCENTS.sub("", text[a:b].lower()).translate(fold)) for a, b in spans]
+    hits = [i for i, w in enumerate(folded) if w in stems or (begins and w.startswith(begins))]
     if not spans:
         return text[:200]
     best, at = (-1, -1), 0
@@ -137,12 +138,11 @@ def best_window(text: str, wanted: set[str], size: int = 40, opening: str = ">>>
     return (more if at else "") + "".join(out) + (more if end < len(spans) else "")
 
 
-def snippet(column: Column | str, words: list[str], size: int = 40) -> Column:
-    wanted = set(words) | {porter(w) for w in words}
-    return F.pandas_udf(_snippet_of(wanted, size), "string")(column)
+def snippet(column: Column | str, words: list[tuple[str, bool]], size: int = 40) -> Column:
+    return F.pandas_udf(_snippet_of(set(words), size), "string")(column)
 
 
-def _snippet_of(wanted: set[str], size: int) -> Callable[[pd.Series], pd.Series]:
+def _snippet_of(wanted: set[tuple[str, bool]], size: int) -> Callable[[pd.Series], pd.Series]:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: best_window(t, wanted, size) if t else t)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .links import RESOLVED, resolve_one
-from .search import search, with_tag, below
+from .search import FullText, as_index, below, search, with_tag
 
 # Tags that say nothing about a topic: fixed values.
 TRIVIAL_TAGS = ("active", "work", "personal")
@@ -66,12 +66,13 @@ def expand(notes: DataFrame, links: DataFrame, seed: str, depth: int = 1, limit:
     return near.orderBy("phase", "path").limit(limit).drop("phase")
 
 
-def topic(notes: DataFrame, links: DataFrame, text: str, limit: int = 15, prefix: str | None = None) -> DataFrame:
+def topic(index: DataFrame | FullText, links: DataFrame, text: str, limit: int = 15, prefix: str | None = None) -> DataFrame:
     """(path, title, relevance, snippet, tags) for a topic: matches, what the best three link to, and notes that
     share the matches' most frequent telling tag. Every note keeps its first relevance."""
-    spark = notes.sparkSession
+    index = as_index(index)
+    notes, spark = index.notes, links.sparkSession
     limit = limit if limit > 0 else 15
-    hits = search(notes, text, math.ceil(limit * 0.6), None, prefix).collect()  # at most 0.6 of the limit
+    hits = search(index, text, math.ceil(limit * 0.6), None, prefix).collect()  # at most 0.6 of the limit
     rows = [(r["path"], r["title"], "direct_match", r["snippet"], r["tags"], i) for i, r in enumerate(hits)]
     schema = "path string, title string, relevance string, snippet string, tags string, ord int"
     parts = [spark.createDataFrame(rows, schema)]

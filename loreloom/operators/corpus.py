@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
+from ..runtime import UNICODE_SPACE
 
 NOTES = (
     "path string, title string, body string, tags string, frontmatter string, mtime double, "
     "content_hash string, content_changed_at double, first_indexed_at double"
 )
+#: Columns that may be long.
+TEXTS = ("body", "raw", "text", "frontmatter")
 LINKS = "source_path string, target string, target_path string"
 
 
 def current_notes(notes: DataFrame, *columns: str) -> DataFrame:
     """(path, columns) of each path's row with the largest mtime; rows that tie are equal, null is oldest.
 
-    The maximum is combined before the shuffle, so a path with many states sends one row a task.
+    Columns that hold texts stay out of the aggregation: the newest rows are found by path and time first, then
+    one row of each is kept, so older states' texts are never moved.
     """
     columns = columns or tuple(c for c in notes.columns if c != "path")
-    newest = F.max(F.struct("mtime", *(c for c in columns if c != "mtime"))).alias("r")
-    return notes.filter(F.col("path").isNotNull()).groupBy("path").agg(newest).select("path", *(F.col(f"r.{c}").alias(c) for c in columns))
+    named = notes.filter(F.col("path").isNotNull())
+    if not set(columns) & set(TEXTS) or not _has_places(named):
+        newest = F.max(F.struct("mtime", *(c for c in columns if c != "mtime"))).alias("r")
+        return named.groupBy("path").agg(newest).select("path", *(F.col(f"r.{c}").alias(c) for c in columns))
+    # the file and the place in it number a row without a look at its text
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    newest = named.groupBy("path").agg(F.max(F.struct("mtime", place.alias("at"))).alias("n")).select("n.at")
+    return named.select("path", *columns, place.alias("at")).join(newest, "at", "left_semi").select("path", *columns)
+
+
+def _has_places(df: DataFrame) -> bool:
+    try:
+        return "row_index" in df.select("_metadata").schema[0].dataType.fieldNames()
+    except AnalysisException:
+        return False
 
 
 def current_links(links: DataFrame) -> DataFrame:
@@ -82,7 +100,7 @@ def upsert(old: DataFrame, new: DataFrame, now_ms: float, changed_only: bool = T
 
 
 def diff(stored: DataFrame, listing: DataFrame) -> DataFrame:
-    """(path, change): new, changed and deleted files by comparing modification times; equal ones are left out."""
+    """(path, mtime, change): new, changed and deleted files by comparing modification times; equal ones are left out."""
     s = stored.select("path", F.col("mtime").alias("stored"))
     ls = listing.select("path", F.col("mtime").alias("listed"))
     change = (
@@ -90,7 +108,7 @@ def diff(stored: DataFrame, listing: DataFrame) -> DataFrame:
         .when(F.col("listed").isNull(), "deleted")
         .when(~F.col("stored").eqNullSafe(F.col("listed")), "changed")
     )
-    return s.join(ls, "path", "full_outer").select("path", change.alias("change")).filter("change IS NOT NULL")
+    return s.join(ls, "path", "full_outer").select("path", F.col("listed").alias("mtime"), change.alias("change")).filter("change IS NOT NULL")
 
 
 def replace_links(old: DataFrame, new: DataFrame, touched: DataFrame) -> DataFrame:
@@ -120,7 +138,7 @@ def stats(notes: DataFrame, links: DataFrame) -> DataFrame:
 
 def tag_counts(notes: DataFrame) -> DataFrame:
     """(tag, n): uses of each tag in the joined tag texts."""
-    each = notes.select(F.explode(F.split("tags", r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")).alias("tag"))
+    each = notes.select(F.explode(F.split("tags", f"[{UNICODE_SPACE}]+")).alias("tag"))
     return each.filter("tag <> ''").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,39 +1,68 @@
-"""Ranked full-text search over notes: BM25 over title, body and tags, phrases, prefixes and Boolean queries.
+"""Ranked full-text search: BM25 over title, body and tags, phrases, prefixes and Boolean queries.
 
-The query is parsed on the driver; only its own terms are looked for. Tokens are cut and stemmed for the
-candidate notes alone, which a cheap filter inside the JVM has found, so a search reads each text once
-and shuffles only small counts.
+Notes are cut, folded and stemmed once, into postings: (term, path, dl, at), where ``at`` lists the places of
+the term in the note and ``dl`` is the note's length in terms. Postings lie in parts by the hash of the term,
+sorted by term, so a query reads the parts of its own terms alone; a prefix reads the row groups that may hold
+it. The empty term has a row for each note, from which the totals come. A query is parsed on the driver, its
+words are cut and folded by the very expression that cuts the notes.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("title", "body", "tags")
+#: Places count from field * FIELD on, so no phrase runs from one field into the next.
+FIELD = 1 << 32
 SPLIT = r"[^\p{L}\p{N}\p{Co}]+"
-# Latin letters with marks and their plain letters, as the index folds them: fixed values.
-MARKED = ("àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž", "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz")
+POSTINGS = "term string, path string, dl int, at array<bigint>"
+PARTS = 32
 
 
-class QueryError(ValueError):
-    """The text isn't a valid search expression."""
+@lru_cache(maxsize=1)
+def marked_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with one mark, and their plain letters; the final sigma with the other one."""
+    marked, bare = "ς", "σ"
+    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if chr(cp).islower() and len(parts) == 2 and parts[0].isascii():
+            marked, bare = marked + chr(cp), bare + parts[0]
+    return marked, bare
 
 
 def folded(c: Column | str) -> Column:
     col = F.lower(F.col(c) if isinstance(c, str) else c)
     # plain ASCII needs no folding, which looks up every sign
-    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(F.translate(F.regexp_replace(col, r"\p{M}+", ""), *MARKED))
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(F.translate(F.regexp_replace(col, r"[\x{300}-\x{36F}]+", ""), *marked_letters()))
 
 
 def tokens(c: Column | str) -> Column:
-    """Lower-case letter and digit runs without marks, unstemmed."""
+    """Lower-case letter and digit runs without accents, unstemmed. Vowel signs of Indic scripts part them."""
     col = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    return F.filter(F.split(folded(col), SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(folded(col), SPLIT), "")
+
+
+@lru_cache(maxsize=4096)
+def plain_tokens(text: str) -> tuple[str, ...]:
+    """``tokens`` of a query's text: the same expression, over one local row."""
+    spark = SparkSession.active()
+    return tuple(spark.createDataFrame([(text,)], "t string").select(tokens("t").alias("t")).first()["t"])
+
+
+class QueryError(ValueError):
+    """The text isn't a valid search expression."""
 
 
 # --- expressions ---------------------------------------------------------------------------------------
@@ -41,12 +70,13 @@ def tokens(c: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Phrase:
-    """Words in a row, perhaps only in one field; the last may be a prefix; ``first`` wants it at a field's start."""
+    """Words in a row, perhaps only in some fields; ``prefixes`` numbers those that only begin a word; ``first`` wants it at a field's start."""
 
     words: tuple[str, ...]
-    prefix: bool = False
-    field: str | None = None
+    prefixes: tuple[int, ...] = ()
+    fields: tuple[str, ...] = FIELDS
     first: bool = False
+    no: int = 0  # repeated phrases count each
 
 
 @dataclass(frozen=True)
@@ -67,6 +97,7 @@ class _Parser:
     text: str
     pos: int = 0
     items: list = field(default_factory=list)
+    phrases: int = 0
 
     LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([(){}:+*^,])|(-)|([^\s"(){}:+*^,\-]+))')
 
@@ -130,7 +161,7 @@ class _Parser:
 
     def row(self) -> object:
         out = self.unit()
-        while self.peek()[0] in ("str", "(", "{", "^") or (self.peek()[0] == "word" and self.peek()[1] not in ("AND", "OR", "NOT")):
+        while self.peek()[0] in ("str", "(", "{", "^", "-") or (self.peek()[0] == "word" and self.peek()[1] not in ("AND", "OR", "NOT")):
             out = Node("and", out, self.unit())
         return out
 
@@ -143,12 +174,9 @@ class _Parser:
             return out
         if kind == "word" and value in ("AND", "OR", "NOT"):
             raise QueryError(f"{value} lacks a side")
-        if kind == "word" and self.pos + 1 < len(self.items) and self.items[self.pos + 1][0] == ":":
-            if value.lower() not in FIELDS:
-                raise QueryError(f"no such column: {value}")
-            self.take()
-            self.take()
-            return _within(self.unit(), value.lower())
+        names = self.columns()
+        if names is not None:
+            return _within(self.unit(), names)
         if kind == "word" and value == "NEAR" and self.pos + 1 < len(self.items) and self.items[self.pos + 1][0] == "(":
             self.take()
             self.take()
@@ -163,6 +191,32 @@ class _Parser:
             return Near(tuple(phrases), distance)
         return self.phrase()
 
+    def columns(self) -> tuple[str, ...] | None:
+        """``name:``, ``{name name}:`` and, for all but these, ``-name:``; None, and nothing taken, if none stands here."""
+        begin = self.pos
+        others = self.peek()[0] == "-"
+        if others:
+            self.take()
+        names: list[str] = []
+        if self.peek()[0] == "{":
+            self.take()
+            while self.peek()[0] in ("word", "str"):
+                names.append(self.take()[1])
+            self.take("}")
+        elif self.peek()[0] in ("word", "str"):
+            names.append(self.take()[1])
+        if not names or self.peek()[0] != ":":
+            if others or self.items[begin : begin + 1] == [("{", "{")]:
+                raise QueryError("a column filter ends with a colon")
+            self.pos = begin
+            return None
+        self.take()
+        for n in names:
+            if n.lower() not in FIELDS:
+                raise QueryError(f"no such column: {n}")
+        named = {n.lower() for n in names}
+        return tuple(f for f in FIELDS if (f in named) != others)
+
     def _fail(self) -> int:
         raise QueryError("a distance is a number")
 
@@ -170,14 +224,18 @@ class _Parser:
         first = self.peek()[0] == "^"
         if first:
             self.take()
-        words = list(self._string())
-        while self.peek()[0] == "+":
-            self.take()
+        words: list[str] = []
+        prefixes: list[int] = []
+        while True:
             words += self._string()
-        prefix = self.peek()[0] == "*"
-        if prefix:
+            if self.peek()[0] == "*":
+                self.take()
+                prefixes.append(len(words) - 1)
+            if self.peek()[0] != "+":
+                break
             self.take()
-        return Phrase(tuple(words), prefix, None, first)
+        self.phrases += 1
+        return Phrase(tuple(words), tuple(prefixes), FIELDS, first, self.phrases)
 
     def _string(self) -> list[str]:
         kind, value = self.take()
@@ -185,25 +243,17 @@ class _Parser:
             raise QueryError(f"unexpected {value or 'end'}")
         if kind == "word" and not re.fullmatch(r"\w+", value):
             raise QueryError(f"{value} must be quoted")
-        return plain_tokens(value)
+        from ..functions.text import porter
 
+        return [porter(w) for w in plain_tokens(value)]
 
-def _within(node: object, name: str) -> object:
+
+def _within(node: object, names: tuple[str, ...]) -> object:
     if isinstance(node, Phrase):
-        return Phrase(node.words, node.prefix, name, node.first)
+        return replace(node, fields=tuple(f for f in node.fields if f in names))
     if isinstance(node, Near):
-        return Near(tuple(_within(p, name) for p in node.phrases), node.distance)
-    if isinstance(node, Node):
-        return Node(node.op, _within(node.left, name), _within(node.right, name))
-    return node
-
-
-def plain_tokens(text: str) -> list[str]:
-    """The same cutting as ``tokens``, on the driver, for the query's few words."""
-    import unicodedata
-
-    low = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return [t for t in re.split(r"[^\w]+|_+", low) if t]
+        return Near(tuple(_within(p, names) for p in node.phrases), node.distance)
+    return Node(node.op, _within(node.left, names), _within(node.right, names))
 
 
 def match_expression(query: str) -> str:
@@ -219,174 +269,231 @@ def parse_query(query: str) -> object:
 
 
 def phrases_of(node: object) -> list[Phrase]:
+    """All phrases with a word, those that must not match included."""
     if isinstance(node, Phrase):
         return [node] if node.words else []
     if isinstance(node, Near):
         return [p for p in node.phrases if p.words]
-    if isinstance(node, Node):
-        return phrases_of(node.left) + ([] if node.op == "not" else phrases_of(node.right))
-    return []
+    return phrases_of(node.left) + phrases_of(node.right)
 
 
-# --- evaluation ----------------------------------------------------------------------------------------
+# --- postings ------------------------------------------------------------------------------------------
 
 
-def _starts(phrase: Phrase, name: str) -> Column:
-    """Positions at which the phrase begins in a field's tokens.
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from ..functions.text import porter
 
-    The token array is zipped with itself shifted; no lambda looks into it by index, which would cut the
-    text anew at each word.
-    """
-    toks = F.col(f"{name}_tok")
-    fits = None
-    for k, w in enumerate(phrase.words):
-        begins = phrase.prefix and k == len(phrase.words) - 1
-        here = _fit(toks, w, begins)
-        if k:
-            here = F.slice(here, k + 1, 1 << 30)
-        fits = here if fits is None else F.zip_with(fits, here, lambda x, y: x & F.coalesce(y, F.lit(False)))
-    at = F.filter(F.transform(fits, lambda ok, i: F.when(ok, i)), lambda i: i.isNotNull())
-    return F.filter(at, lambda i: i == 0) if phrase.first else at
+    for batch in batches:
+        n, paths = batch.num_rows, batch.column(0)
+        words, docs, at = [], [], []
+        for k in range(len(FIELDS)):
+            flat, lens = batch.column(k + 1).flatten(), np.diff(batch.column(k + 1).offsets.to_numpy())
+            words.append(flat)
+            docs.append(np.repeat(np.arange(n), lens))
+            at.append(np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + k * FIELD)
+        doc, place = np.concatenate(docs), np.concatenate(at)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        terms: dict[str, int] = {}
+        stem_of = np.fromiter((terms.setdefault(porter(w), len(terms)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        dl = np.bincount(doc, minlength=n).astype(np.int32)
+        empty = pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), pa.array([], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([""] * n, pa.string()), paths, pa.array(dl), empty], ["term", "path", "dl", "at"])
+        if len(doc):
+            key = doc * len(terms) + stem_of[coded.indices.to_numpy(zero_copy_only=False)]
+            order = np.argsort(key, kind="stable")  # a term's places in a note stay in order
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            d, t = key[first] // len(terms), key[first] % len(terms)
+            lists = pa.ListArray.from_arrays(np.append(first, len(key)).astype(np.int32), pa.array(place[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(t)), paths.take(pa.array(d)), pa.array(dl[d]), lists], ["term", "path", "dl", "at"])
+
+
+def postings_of(notes: DataFrame) -> DataFrame:
+    """Postings of notes (path, title, body, tags), one pass over the texts without a shuffle."""
+    return notes.select("path", *(tokens(f).alias(f) for f in FIELDS)).mapInArrow(_postings, POSTINGS)
+
+
+def part_of(term: Column | str, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def _fit(toks: Column, word: str, begins: bool) -> Column:
-    return F.transform(toks, lambda t: t.startswith(word) if begins else t == word)
+@dataclass
+class FullText:
+    """``read(parts)`` gives the postings in those parts (None: in all); ``notes`` are (path, title, body, tags)."""
 
+    notes: DataFrame
+    read: Callable[[list[int] | None], DataFrame]
+    parts: int = PARTS
 
-def _count(phrase: Phrase) -> Column:
-    names = [phrase.field] if phrase.field else FIELDS
-    return sum((F.size(_starts(phrase, n)) for n in names), F.lit(0))
+    @classmethod
+    def of(cls, notes: DataFrame, scratch: Scratch | None = None, parts: int = PARTS) -> FullText:
+        """An index of notes at hand, kept in the scratch folder."""
+        spark = notes.sparkSession
+        scratch = scratch or Scratch(spark, "fulltext")
+        rows = postings_of(notes).withColumn("part", part_of("term", parts)).hint("rebalance", F.col("part")).sortWithinPartitions("part", "term")
+        path = scratch.partitioned(rows, "postings", "part")
+        return cls(notes, lambda wanted: spark.read.schema(POSTINGS + ", part int").parquet(path).filter(F.lit(True) if wanted is None else F.col("part").isin(wanted)), parts)
 
+    def parts_of(self, terms: list[str]) -> list[int]:
+        local = self.notes.sparkSession.createDataFrame([(t,) for t in terms], "t string")
+        return sorted({r[0] for r in local.select(part_of("t", self.parts)).collect()})
 
-def _holds(node: object) -> Column:
-    if isinstance(node, Phrase):
-        return _count(node) > 0 if node.words else F.lit(False)
-    if isinstance(node, Near):
-        out = F.lit(False)
-        for n in FIELDS:
-            pos = [_starts(p, n) for p in node.phrases if p.field in (None, n) and p.words]
-            if len(pos) != len(node.phrases) or not pos:
-                continue
-            out = out | F.exists(pos[0], _close(pos[1:], node.distance))
-        return out
-    left, right = _holds(node.left), _holds(node.right)
-    return {"and": left & right, "or": left | right, "not": left & ~right}[node.op]
+    def terms(self, words: list[str], prefixes: list[str]) -> DataFrame:
+        """Postings of the words and of all terms that begin with a prefix."""
+        rows = self.read(None if prefixes else self.parts_of(words))
+        hit = F.col("term").isin(words) if words else F.lit(False)
+        for p in prefixes:
+            hit = hit | F.startswith("term", F.lit(p))
+        return rows.filter(hit & (F.col("term") != ""))
 
+    def totals(self) -> DataFrame:
+        """One row: N, avgdl."""
+        docs = self.read(self.parts_of([""])).filter("term = ''")
+        return docs.agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
-def _close(others: list[Column], distance: int):
-    """Whether each other phrase starts within the distance of a start of the first."""
 
-    def close(i: Column) -> Column:
-        cond = F.lit(True)
-        for other in others:
-            cond = cond & F.exists(other, lambda j: F.abs(j - i) <= distance + 1)
-        return cond
+def document_frequency(index: FullText) -> DataFrame:
+    """(term, notes) of every term."""
+    return index.read(None).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("notes"))
 
-    return close
 
+# --- evaluation ----------------------------------------------------------------------------------------
 
-def _where(df: DataFrame, condition: Column) -> DataFrame:
-    """A filter that stays above the columns it reads: pushed below them, it would cut every text once more a term."""
-    one, none = F.array(F.lit(1)), F.array().cast("array<int>")
-    return df.withColumn("_hit", F.explode(F.when(condition, one).otherwise(none))).drop("_hit")
 
+def _slot(phrase: Phrase, k: int) -> tuple[str, bool]:
+    return phrase.words[k], k in phrase.prefixes
 
-def stemmed(node: object) -> object:
-    """The expression over stems."""
-    from ..functions.text import porter
 
-    if isinstance(node, Phrase):
-        return replace(node, words=tuple(map(porter, node.words)))
-    if isinstance(node, Near):
-        return replace(node, phrases=tuple(map(stemmed, node.phrases)))
-    return Node(node.op, stemmed(node.left), stemmed(node.right))
+def _tally(index: FullText, phrases: list[Phrase]) -> tuple[DataFrame, dict[Phrase, str]]:
+    """(path, dl, p0, p1, ...) of every note with any of the phrases' words: where each phrase begins."""
+    slots = list(dict.fromkeys(_slot(p, k) for p in phrases for k in range(len(p.words))))
+    rows = index.terms([w for w, begins in slots if not begins], [w for w, begins in slots if begins])
+    held = []
+    for i, (w, begins) in enumerate(slots):
+        hit = F.startswith("term", F.lit(w)) if begins else F.col("term") == w
+        # a word has one row a note, a prefix a few
+        held.append(F.array_sort(F.flatten(F.collect_list(F.when(hit, F.col("at"))))).alias(f"w{i}"))
+    tok = rows.groupBy("path").agg(F.max("dl").alias("dl"), *held)
+    name = {p: f"p{i}" for i, p in enumerate(phrases)}
+    number = {s: i for i, s in enumerate(slots)}
+    for p, n in name.items():
+        at = F.col(f"w{number[_slot(p, 0)]}")
+        for k in range(1, len(p.words)):
+            at = F.array_intersect(at, _shifted(F.col(f"w{number[_slot(p, k)]}"), k))
+        if p.fields != FIELDS:
+            at = _in_fields(at, p.fields)
+        if p.first:
+            at = F.filter(at, lambda x: x.bitwiseAND(FIELD - 1) == 0)
+        tok = tok.withColumn(n, at)
+    return tok, name
+
+
+def _shifted(at: Column, k: int) -> Column:
+    return F.transform(at, lambda x: x - k)
+
+
+def _in_fields(at: Column, names: tuple[str, ...]) -> Column:
+    return F.filter(at, lambda x: F.shiftright(x, 32).isin([FIELDS.index(f) for f in names]) if names else F.lit(False))
 
 
-def with_tokens(df: DataFrame, stem: bool) -> DataFrame:
-    """Adds each field's tokens."""
-    from ..functions.text import stem_tokens
+def _stands(at: Column, last: Column, reach: int) -> Column:
+    """Whether any place lies at most ``reach`` before the last one."""
+    return F.exists(at, lambda s: (s <= last) & (s >= last - reach))
 
-    for f in FIELDS:
-        df = df.withColumn(f"{f}_tok", stem_tokens(tokens(f)) if stem else tokens(f))
-    return df
 
+def _standing(at: Column, reach: int) -> Column:
+    return F.filter(at, lambda s: F.exists("_last", lambda m: (s <= m) & (s >= m - reach)))
 
-def _root(word: str, stem: bool) -> str:
-    """A beginning that every word of that stem has: suffix rules change at most a stem's last two letters."""
-    return word if not stem else word[: max(1, len(word) - 2)]
 
+def _near(tok: DataFrame, node: object, name: dict[Phrase, str]) -> DataFrame:
+    """The phrases of NEAR groups keep only the places that stand together.
 
-def _maybe(node: object, stem: bool = False) -> Column:
-    """A cheap condition that every match meets: the rows for which tokens are worth cutting."""
+    Phrases stand together if each ends no more than the distance before the last of them begins.
+    """
+    if isinstance(node, Node):
+        return _near(_near(tok, node.left, name), node.right, name)
+    if not isinstance(node, Near) or len(node.phrases) < 2 or not all(p.words for p in node.phrases):
+        return tok
+    cols = [(F.col(name[p]), len(p.words) + node.distance) for p in node.phrases]
+    last = F.array_sort(F.array_distinct(F.concat(*(c for c, _ in cols))))
+    tok = tok.withColumn("_last", F.filter(last, lambda m: _all(_stands(c, m, r) for c, r in cols)))
+    for p, (c, r) in zip(node.phrases, cols):
+        tok = tok.withColumn(name[p], _standing(c, r))
+    return tok.drop("_last")
+
+
+def _all(conditions: Iterator[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def _holds(node: object, name: dict[Phrase, str]) -> Column:
     if isinstance(node, Phrase):
-        if not node.words:
-            return F.lit(False)
-        text = F.concat_ws(" ", *(folded(F.coalesce(F.col(f), F.lit(""))) for f in ([node.field] if node.field else FIELDS)))
-        out = F.lit(True)
-        for w in node.words:
-            out = out & text.contains(_root(w, stem))
-        return out
+        return F.size(name[node]) > 0 if node.words else F.lit(False)
     if isinstance(node, Near):
-        out = F.lit(True)
-        for p in node.phrases:
-            out = out & _maybe(p, stem)
-        return out
-    if node.op == "not":
-        return _maybe(node.left, stem)
-    left, right = _maybe(node.left, stem), _maybe(node.right, stem)
-    return left & right if node.op == "and" else left | right
+        return _all(F.size(name[p]) > 0 if p.words else F.lit(False) for p in node.phrases) if node.phrases else F.lit(False)
+    left, right = _holds(node.left, name), _holds(node.right, name)
+    return {"and": left & right, "or": left | right, "not": left & ~right}[node.op]
 
 
 def with_tag(df: DataFrame, tag: str | None) -> DataFrame:
-    """Rows whose joined tags contain the text, whatever its case: ``art`` also finds ``party``."""
-    return df.filter(F.contains(F.lower("tags"), F.lower(F.lit(tag)))) if tag else df
+    """Rows whose joined tags contain the text, whatever its case: ``art`` also finds ``party``; ``_`` and ``%`` are wildcards."""
+    return df.filter(F.ilike("tags", F.lit("%" + tag.replace("\\", "\\\\") + "%"))) if tag else df
 
 
 def below(df: DataFrame, prefix: str | None) -> DataFrame:
-    return df.filter(F.startswith(F.lower("path"), F.lower(F.lit(prefix)))) if prefix else df
+    """Rows whose path begins with the text, whatever its case; ``_`` and ``%`` are wildcards."""
+    return df.filter(F.ilike("path", F.lit(prefix.replace("\\", "\\\\") + "%"))) if prefix else df
 
 
-def bm25(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None = None, prefix: str | None = None, stem: bool = True) -> DataFrame:
-    """(path, title, tags, rank): best matches first, lower rank is better; raises QueryError on bad syntax.
+def _nothing(index: FullText) -> DataFrame:
+    return index.notes.filter(F.lit(False)).select("path", "title", "tags", F.lit(0.0).alias("rank"))
 
-    ``stem`` compares Porter stems; without it words must be equal and no Python runs.
-    """
-    node = stemmed(parse_query(query)) if stem else parse_query(query)
-    phrases = list(dict.fromkeys(phrases_of(node)))
-    slim = notes.select("path", "title", "body", "tags")
+
+def as_index(notes: DataFrame | FullText) -> FullText:
+    return notes if isinstance(notes, FullText) else FullText.of(notes)
+
+
+def bm25(notes: DataFrame | FullText, query: str, limit: int | None = 10, tag: str | None = None, prefix: str | None = None) -> DataFrame:
+    """(path, title, tags, rank): best matches first, lower rank is better; raises QueryError on bad syntax."""
+    index, node = as_index(notes), parse_query(query)
+    phrases = phrases_of(node)
     if not phrases:  # no word at all matches nothing
-        return slim.filter(F.lit(False)).select("path", "title", "tags", F.lit(0.0).alias("rank"))
-    lengths = slim.select(sum((F.size(tokens(f)) for f in FIELDS), F.lit(0)).alias("n"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"))
-    any_phrase = F.lit(False)
-    for p in phrases:
-        any_phrase = any_phrase | _maybe(p, stem)
-    # document frequencies count all notes; filters only narrow the result
-    tok = with_tokens(slim.filter(any_phrase), stem)
-    for k, p in enumerate(phrases):
-        tok = tok.withColumn(f"tf{k}", _count(p))
-    tok = tok.withColumn("dl", sum((F.size(f"{f}_tok") for f in FIELDS), F.lit(0)))
-    dfs = tok.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))))
-    stats = totals.join(F.broadcast(dfs))  # one row each
-    stats = stats.select(F.struct("*").alias("s"))
-    hits = below(with_tag(_where(tok, _holds(node)), tag), prefix).withColumn("s", stats.scalar())
+        return _nothing(index)
+    tok, name = _tally(index, phrases)
+    # document frequencies count all notes with a phrase; filters and NEAR only narrow the result
+    counts = tok.agg(*(F.count_if(F.size(c) > 0).alias(f"d{c}") for c in name.values())).select(F.struct("*").alias("c")).scalar()
+    totals = index.totals().select(F.struct("*").alias("t")).scalar()
+    hits = below(_near(tok, node, name).filter(_holds(node, name)), prefix).withColumn("c", counts).withColumn("t", totals)
     score = F.lit(0.0)
-    for k in range(len(phrases)):
-        n = F.col(f"s.df{k}")
-        idf = F.log((F.col("s.N") - n + 0.5) / (n + 0.5))
+    for c in name.values():
+        n = F.col(f"c.d{c}")
+        idf = F.log((F.col("t.N") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        tf = F.col(f"tf{k}").cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("s.avgdl")))
+        tf = F.size(c).cast("double")
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("t.avgdl")))
     # rounded so that the order of equal ranks doesn't hang on the order of a sum
-    out = hits.select("path", "title", "tags", F.round(-score, 9).alias("rank"))
-    return out.orderBy("rank", "path").limit(limit) if limit is not None else out
+    hits = hits.select("path", F.round(-score, 9).alias("rank"))
+    shown = index.notes.select("path", "title", "tags")
+    if limit is None:
+        return with_tag(hits.join(shown, "path"), tag).select("path", "title", "tags", "rank")
+    if tag:
+        hits = hits.join(with_tag(shown, tag), "path", "left_semi")
+    best = hits.orderBy("rank", "path").limit(limit)  # ``limit`` rows
+    return shown.join(F.broadcast(best), "path").select("path", "title", "tags", "rank").orderBy("rank", "path")
 
 
-def matches(notes: DataFrame, query: str, tag: str | None = None, prefix: str | None = None, stem: bool = True) -> DataFrame:
+def matches(notes: DataFrame | FullText, query: str, tag: str | None = None, prefix: str | None = None) -> DataFrame:
     """(path) of all notes that satisfy the expression, unranked."""
-    node = stemmed(parse_query(query)) if stem else parse_query(query)
-    tok = with_tokens(notes.select("path", "title", "body", "tags").filter(_maybe(node, stem)), stem)
-    return below(with_tag(_where(tok, _holds(node)), tag), prefix).select("path")
+    index, node = as_index(notes), parse_query(query)
+    phrases = phrases_of(node)
+    if not phrases:
+        return _nothing(index).select("path")
+    tok, name = _tally(index, phrases)
+    hits = below(_near(tok, node, name).filter(_holds(node, name)), prefix).select("path")
+    return hits.join(with_tag(index.notes.select("path", "tags"), tag), "path", "left_semi") if tag else hits
 
 
 def like_search(notes: DataFrame, query: str, limit: int | None = 10, tag: str | None = None, prefix: str | None = None) -> DataFrame:
@@ -397,19 +504,20 @@ def like_search(notes: DataFrame, query: str, limit: int | None = 10, tag: str |
     return out.orderBy("path").limit(limit) if limit is not None else out
 
 
-def search(notes: DataFrame, query: str, limit: int = 10, tag: str | None = None, prefix: str | None = None, snippets: bool = True) -> DataFrame:
+def search(notes: DataFrame | FullText, query: str, limit: int = 10, tag: str | None = None, prefix: str | None = None, snippets: bool = True) -> DataFrame:
     """Ranked search; falls back to plain containment if the query isn't valid. Adds (snippet)."""
     limit = limit if limit > 0 else 10
+    index = as_index(notes)
     try:
         node = parse_query(query)
-        hits = bm25(notes, query, limit, tag, prefix)
-        words = sorted({w for p in phrases_of(node) for w in p.words})
+        hits = bm25(index, query, limit, tag, prefix)
+        words = sorted({_slot(p, k) for p in phrases_of(node) for k in range(len(p.words))})
     except QueryError:
-        hits, words = like_search(notes, query, limit, tag, prefix), []
+        hits, words = like_search(index.notes, query, limit, tag, prefix), []
     if not snippets:
         return hits
     from ..functions.text import snippet
 
-    bodies = notes.select("path", "body").join(F.broadcast(hits), "path")  # at most ``limit`` rows
+    bodies = index.notes.select("path", "body").join(F.broadcast(hits), "path")  # at most ``limit`` rows
     shown = snippet("body", words) if words else F.substring("body", 1, 200)
     return bodies.select("path", "title", shown.alias("snippet"), "tags", "rank").orderBy("rank", "path")

@@ -74,6 +74,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def partitioned(self, df: DataFrame, name: str, column: str) -> str:
+        """Writes a table in folders by a column; returns its path."""
+        self._n += 1
+        path = f"{self.root}/{self._n:03d}-{name}"
+        df.write.mode("overwrite").partitionBy(column).parquet(path)
+        return path
+
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             self._delete(getattr(t, "_scratch_path", None))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..index import StoredIndex
+from ..runtime import Scratch
 from ..sources.vault import DEFAULT_EXCLUDES, stream_vault
 
 
@@ -21,15 +23,16 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def apply_events(index: StoredIndex, events: DataFrame, now_ms: float | None = None) -> None:
-    """One micro-batch as one set-based update; a batch that is applied twice changes nothing."""
-    last = latest(events).persist()
-    # what the index holds already is not parsed again
-    files = last.filter("kind = 'write'").select("path", "raw", "mtime").join(index.notes().select("path", "mtime"), ["path", "mtime"], "left_anti")
-    files = files.select("path", "raw", "mtime")
-    gone = [r["path"] for r in last.filter("kind = 'delete'").select("path").collect()]
-    if gone or files.take(1):
-        index.apply(files, gone, time.time() * 1000 if now_ms is None else now_ms)
-    last.unpersist()
+    """One micro-batch as one set-based update of the buckets it touches; a batch that is applied twice changes nothing."""
+    scratch = Scratch(index.spark, "events")
+    last = scratch.write(latest(events), "latest")
+    stored = index.notes().select("path", "mtime")
+    # what the index holds already is not parsed again, and what it lacks need not go
+    files = last.filter("kind = 'write'").select("path", "raw", "mtime").join(stored, ["path", "mtime"], "left_anti").select("path", "raw", "mtime")
+    gone = last.filter("kind = 'delete'").select("path").join(stored, "path", "left_semi")
+    if files.select("path").union(gone).take(1):
+        index.apply(scratch.write(files, "files"), scratch.write(gone, "gone"), time.time() * 1000 if now_ms is None else now_ms)
+    scratch.clear()
 
 
 @dataclass
@@ -62,10 +65,18 @@ class HealthListener(StreamingQueryListener):
             self.health.errors += 1
 
 
-def watch(spark: SparkSession, root: str, index: StoredIndex, checkpoint: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, debounce_ms: int = 400, once: bool = False) -> StreamingQuery:
-    """Starts the query that follows a vault. The trigger's interval is the debounce: all writes of a path within
-    it come as one event, because the source compares listings. A stream begins with what it lists first, so
-    notes that vanished before are removed by a refresh. ``once`` catches up and stops."""
+def watch(
+    spark: SparkSession, root: str, index: StoredIndex, checkpoint: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, debounce_ms: int = 400, once: bool = False, state: str | None = None
+) -> StreamingQuery:
+    """Starts the query that follows a vault. A written note is taken once it has been quiet for ``debounce_ms``, each
+    path by itself; deletions are taken with the next look, of which there are two in that time. The stream's first
+    batch is the whole vault; notes that vanished before are removed by a refresh. ``once`` catches up and stops.
+    ``state`` is the folder of the listings, beside the checkpoint if that is a folder."""
     index.refresh(root, excludes)
-    writer = stream_vault(spark, root, excludes).writeStream.foreachBatch(lambda df, _: apply_events(index, df)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{debounce_ms} milliseconds")).start()
+    if state is None:
+        if "://" in checkpoint:
+            raise ValueError("give a folder for the listings, which executors write as plain files")
+        state = os.path.join(checkpoint.removeprefix("file:"), "listings")
+    events = stream_vault(spark, root, state, excludes, 0 if once else debounce_ms)
+    writer = events.writeStream.foreachBatch(lambda df, _: apply_events(index, df)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(1, debounce_ms // 2)} milliseconds")).start()

@@ -77,7 +77,20 @@ def test_porter(w, s):
 
 def test_snippet_window():
     text = " ".join(f"w{i}" for i in range(100)) + " target here"
-    s = best_window(text, {"target"}, 10)
+    s = best_window(text, {("target", False)}, 10)
     assert s.startswith("...") and ">>>target<<<" in s
-    assert best_window("short target", {"target"}) == "short >>>target<<<"
-    assert best_window("", {"x"}) == ""
+    assert best_window("short target", {("targ", True)}) == "short >>>target<<<"
+    assert best_window("", {("x", False)}) == ""
+
+
+def test_frontmatter_goes_by_the_top_level_type(spark):
+    from loreloom.operators import corpus
+
+    docs = [
+        "---\nmeta: {tags: [a], title: no}\ntags: x y\ntitle: T\n---\nb", "---\ntags: [p, q r, 3]\nmeta: {tags: 'z'}\n---\nb #w", "---\ntags: 5\ntitle: 7\n---\n# H",
+        "plain", '---\ntitle: ""\n---\nx', "---\ntags: '#a, b'\n---\n", "---\nmeta: {title: 'no'}\ntitle: [x]\n---\n",
+    ]
+    df = spark.createDataFrame([(f"p{i}.md", d, 1.0) for i, d in enumerate(docs)], "path string, raw string, mtime double")
+    got = {r["path"]: (r["title"], r["tag_list"]) for r in corpus.parse(df).collect()}
+    want = [("T", ["x", "y"]), ("p1", ["p", "q r", "3", "w"]), ("H", []), ("p3", []), ("p4", []), ("p5", ["a", "b"]), ("p6", [])]
+    assert [got[f"p{i}.md"] for i in range(len(docs))] == want

@@ -60,7 +60,6 @@ def test_full_incremental_and_streamed_builds_agree(spark, vault, tmp_path):
     assert ("sub/b.md", "Alpha", "x/Alpha.md") in links and ("sub/b.md", "Missing", "Missing.md") in links
     full = Engine(spark, config.VaultConfig(vault, auto_refresh=False))
     full.index.dir = str(tmp_path / "other")
-    os.makedirs(full.index.dir)
     full.reindex(force=True)
     assert state(full) == state(e)
     os.remove(os.path.join(vault, "x/Alpha.md"))
@@ -119,3 +118,66 @@ def test_captions(spark):
     vtt = "WEBVTT\nKind: captions\n\n1\n00:01.000 --> 00:02.000\n<c>hello</c> there\n\n00:02.000 --> 00:03.000\nhello there\nnext line\n"
     df = spark.createDataFrame([(vtt,), (None,), ("",)], "raw string")
     assert [r[0] for r in df.select(captions.flatten("raw")).collect()] == ["hello there next line", None, ""]
+
+
+def test_a_refresh_writes_the_touched_buckets_alone(spark, vault):
+    for i in range(40):
+        put(vault, f"n/{i}.md", f"# Note {i}\n\nword{i} [[Alpha]]", 1_700_000_000 + i)
+    e = Engine(spark, config.VaultConfig(vault, auto_refresh=False))
+    e.reindex()
+    before = e.index.store.manifest()
+    put(vault, "n/7.md", "# Seven\n\nnewword", 1_700_100_000)
+    os.remove(os.path.join(vault, "n/8.md"))
+    assert tuple(vars(e.refresh()).values()) == (1, 1)
+    after = e.index.store.manifest()
+    moved = [b for b, f in after["tables"]["notes"].items() if before["tables"]["notes"].get(b) != f]
+    assert 1 <= len(moved) <= 2 and len(after["segments"]["postings"]) == 2
+    find = lambda q: sorted(r["path"] for r in e.search(q).collect())
+    assert find("newword") == ["n/7.md"] and find("word7") == [] and find("word8") == [] and find("word9") == ["n/9.md"]
+    for k in range(9):  # segments are joined when they get many
+        put(vault, "n/7.md", f"# Seven\n\nlater{k}", 1_700_200_000 + k)
+        e.refresh()
+    assert len(e.index.store.manifest()["segments"]["postings"]) <= 9
+    assert find("later8") == ["n/7.md"] and find("later7") == [] and find("newword") == [] and find("word9") == ["n/9.md"]
+    with pytest.raises(FileExistsError):
+        stale, fresh = e.index.store.begin(), e.index.store.begin()
+        fresh.commit({})
+        stale.commit({})
+
+
+def test_links_of_an_older_index(spark, vault):
+    e = Engine(spark, config.VaultConfig(vault, auto_refresh=False))
+    e.reindex()
+    e.index.migrate_links(spark.createDataFrame([("sub/b.md", "Alpha"), ("sub/b.md", "Missing")], "source_path string, target string"))
+    assert state(e)[1] == [("sub/b.md", "Alpha", "a.md"), ("sub/b.md", "Missing", "None")]
+    kept = [("sub/b.md", "Alpha", "elsewhere.md")]
+    e.index.migrate_links(spark.createDataFrame(kept, "source_path string, target string, target_path string"))
+    assert state(e)[1] == kept
+
+
+def test_writes_wait_each_for_itself_and_deletions_do_not(vault, tmp_path):
+    from loreloom.sources.vault import VaultStream
+
+    s = VaultStream({"path": vault, "state": str(tmp_path / "state"), "debounce_ms": "60000"})
+    off = s.initialOffset()
+
+    def look():
+        nonlocal off
+        end = s.latestOffset()
+        rows = [(r[0], r[1]) for p in s.partitions(off, end) for r in s.read(p)]
+        again = [(r[0], r[1]) for p in s.partitions(off, end) for r in s.read(p)]
+        assert rows == again  # a batch that runs again tells the same
+        s.commit(off)
+        off = end
+        return sorted(rows)
+
+    assert look() == [("_DAILY.md", "write")][:0] + [("a.md", "write"), ("sub/b.md", "write")]  # _DAILY.md was just written
+    os.utime(os.path.join(vault, "_DAILY.md"), (1_700_000_000, 1_700_000_000))
+    put(vault, "deep/er/still/new.md", "x", 1_700_000_009)
+    put(vault, "a.md", "busy")
+    os.remove(os.path.join(vault, "sub/b.md"))
+    os.rmdir(os.path.join(vault, "sub"))
+    assert look() == [("_DAILY.md", "write"), ("deep/er/still/new.md", "write"), ("sub/b.md", "delete")]
+    os.utime(os.path.join(vault, "a.md"), (1_700_000_500, 1_700_000_500))
+    assert look() == [("a.md", "write")]
+    assert look() == []
