@@ -12,45 +12,44 @@ RESOLVED, AMBIGUOUS, DANGLING = "resolved", "ambiguous", "dangling"
 
 
 def index_keys(notes: DataFrame) -> DataFrame:
-    """(stage, key, path, lower_path) of every way a note may be named, lower case."""
+    """(stage, key, one, other) of every way a note may be named, lower case, with the least and greatest path that it names.
+
+    A base name may be typed with the folders it lies below: each trailing part of a path, without extension, is a key.
+    Reduced to two paths a key before anything is joined, so a name borne by many notes is one row.
+    """
     low = F.lower("path")
-    base = F.lower(md.basename_no_ext("path"))
-    keys = F.array(
-        F.struct(F.lit(1).alias("stage"), low.alias("key")),
-        F.struct(F.lit(2).alias("stage"), base.alias("key")),
-        F.struct(F.lit(3).alias("stage"), F.lower(F.nullif("title", F.lit(""))).alias("key")),
-    )
-    each = notes.select("path", low.alias("lower_path"), F.explode(keys).alias("k"))
-    return each.select("k.stage", "k.key", "path", "lower_path").filter("key IS NOT NULL")
+    parts = F.split(F.lower(F.regexp_replace("path", r"\.md\z", "")), "/")
+    n = F.size(parts)
+    # only notes are named with their folders; of other files the base name alone counts
+    tails = F.transform(F.sequence(F.when(F.endswith(low, F.lit(".md")), 1).otherwise(n), n), lambda i: F.struct(F.lit(2).alias("stage"), F.array_join(F.slice(parts, i, n), "/").alias("key")))
+    whole = F.array(F.struct(F.lit(1).alias("stage"), low.alias("key")), F.struct(F.lit(3).alias("stage"), F.lower(F.nullif("title", F.lit(""))).alias("key")))
+    each = notes.select("path", F.explode(F.concat(whole, tails)).alias("k")).filter("k.key IS NOT NULL")
+    return each.groupBy("k.stage", "k.key").agg(F.min("path").alias("one"), F.max("path").alias("other"))
 
 
 def resolve_targets(targets: DataFrame, notes: DataFrame, target: str = "target") -> DataFrame:
-    """(target, status, target_path) of each distinct target. Every target is resolved once, by one equality join.
+    """(target, status, target_path) of each distinct target, by one equality join on what the targets name.
 
-    Candidates are counted per stage before anything is kept, so a title borne by many notes sends one row a task.
+    Targets that differ in fragments alone are resolved once. Every key has one row in the index, so the join
+    has at most four rows a name.
     """
     t = targets.select(F.col(target).alias("target")).filter("target IS NOT NULL").distinct()
     t = t.withColumn("canon", md.canonical_target("target"))
-    low = F.lower("canon")
-    t = t.withColumn("bare", F.regexp_replace(low, r"\.md\z", ""))
-    wanted = F.array_distinct(
-        F.array(
-            F.struct(F.lit(1).alias("stage"), low.alias("key")),
-            F.struct(F.lit(1).alias("stage"), F.concat(low, F.lit(".md")).alias("key")),
-            F.struct(F.lit(2).alias("stage"), F.lower(md.basename_no_ext("canon")).alias("key")),
-            F.struct(F.lit(3).alias("stage"), low.alias("key")),
-        )
+    t = t.select("target", F.lower("canon").alias("name"), F.lower(F.regexp_replace("canon", r"\.md\z", "")).alias("bare"))
+    names = t.select("name", "bare").filter("name <> ''").distinct()
+    keys = F.array(
+        F.struct(F.lit(1).alias("stage"), F.col("name").alias("key")),
+        F.struct(F.lit(1).alias("stage"), F.concat("name", F.lit(".md")).alias("key")),
+        F.struct(F.lit(2).alias("stage"), F.col("bare").alias("key")),
+        F.struct(F.lit(3).alias("stage"), F.col("name").alias("key")),
     )
-    asked = t.filter("canon <> ''").select("target", "bare", F.instr(low, "/").alias("slash"), F.explode(wanted).alias("k"))
-    asked = asked.select("target", "bare", "slash", "k.stage", "k.key")
+    asked = names.select("name", "bare", F.explode(keys).alias("k")).select("name", "bare", "k.stage", "k.key")
     hits = asked.join(index_keys(notes), ["stage", "key"])
-    # a base name below a folder must stand below that folder
-    anchored = (F.col("lower_path") == F.concat("bare", F.lit(".md"))) | F.col("lower_path").endswith(F.concat(F.lit("/"), F.col("bare"), F.lit(".md")))
-    hits = hits.filter((F.col("stage") != 2) | (F.col("slash") == 0) | anchored)
-    per_stage = hits.groupBy("target", "stage").agg(F.min("path").alias("one"), F.max("path").alias("other"))
-    first = per_stage.groupBy("target").agg(F.min(F.struct("stage", "one", "other")).alias("b"))
+    per_stage = hits.groupBy("name", "bare", "stage").agg(F.min("one").alias("one"), F.max("other").alias("other"))
+    first = per_stage.groupBy("name", "bare").agg(F.min(F.struct("stage", "one", "other")).alias("b"))
     single = F.col("b.one") == F.col("b.other")
-    return t.select("target").join(first, "target", "left").select(
+    # a name typed with many fragments is hot on this side: the adaptive join splits it
+    return t.join(first, ["name", "bare"], "left").select(
         "target",
         F.when(F.col("b").isNull(), DANGLING).when(single, RESOLVED).otherwise(AMBIGUOUS).alias("status"),
         F.when(single, F.col("b.one")).alias("target_path"),

@@ -48,7 +48,7 @@ def notes_diff(spark: SparkSession, d: str) -> DataFrame:
     notes = table(spark, d, "notes")
     stored = _oldest(notes).select("path", "mtime").filter(~F.col("path").like("Daily/%"))
     listing = corpus.current_notes(notes, "mtime").filter(~F.col("path").like(GONE))
-    return corpus.diff(stored, listing)
+    return corpus.diff(stored, listing).select("path", "change")
 
 
 def notes_upsert(spark: SparkSession, d: str) -> DataFrame:

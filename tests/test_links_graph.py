@@ -122,3 +122,14 @@ def test_context(spark, notes):
     top = context.topic(notes, ls, "body").collect()
     assert top[0]["path"] == "Alpha.md" and top[0]["relevance"] == "direct_match"
     assert {r["path"]: r["relevance"] for r in top}["sub/Beta.md"] == "linked_from:Alpha.md"
+
+
+def test_many_folders_with_an_index_note(spark):
+    """Two thousand notes of one base name, each linked with its folder: the join's rows grow with the links, not their square."""
+    notes = spark.createDataFrame([(f"area/f{i}/index.md", "index") for i in range(2000)], "path string, title string")
+    linked = spark.createDataFrame([(f"f{i}/index#part {j}",) for i in range(2000) for j in range(2)] + [("index",), ("f7/INDEX.md",), ("f7/index.MD",), ("7/index",)], "target string")
+    got = {r["target"]: (r["status"], r["target_path"]) for r in links.resolve_targets(linked, notes).collect()}
+    assert all(got[f"f{i}/index#part {j}"] == ("resolved", f"area/f{i}/index.md") for i in range(2000) for j in range(2))
+    assert got["index"][0] == "ambiguous" and got["f7/INDEX.md"][1] == "area/f7/index.md" and got["7/index"][0] == got["f7/index.MD"][0] == "dangling"
+    keys = links.index_keys(notes)
+    assert keys.count() == keys.select("stage", "key").distinct().count()
