@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..runtime import skew_join
+from ..runtime import Scratch, skew_join
 from . import graph, links as link_ops
 
 DAY_MS = 86_400_000
-# File name endings of attachments, and states that close a project: fixed values.
+# File name endings of attachments, states that close a project, and the texts of findings below: fixed values.
 ATTACHMENTS = (
     "png", "jpg", "jpeg", "gif", "svg", "webp", "bmp",
     "pdf", "ppt", "pptx", "doc", "docx", "xls", "xlsx", "csv",
@@ -133,35 +133,37 @@ def para_drift(notes: DataFrame, now: datetime, config: HealthConfig) -> DataFra
     return p.filter(done | stale).select(*finding("para_drift", "path", detail))
 
 
-def estimated_tokens(body: Column | str) -> Column:
-    """Characters by four, which the thresholds use."""
-    return F.floor(F.length(body) / 4)
-
-
-def shown_tokens(body: Column | str) -> Column:
-    """Bytes by four, which the findings show."""
-    return F.floor(F.octet_length(body) / 4).cast("long")
+def measured(notes: DataFrame) -> DataFrame:
+    """Notes with (tokens, shown) instead of their bodies: characters by four, which the thresholds use, and bytes by four, which the findings show."""
+    if "tokens" in notes.columns:
+        return notes
+    body = F.coalesce("body", F.lit(""))
+    return notes.withColumn("tokens", F.floor(F.length(body) / 4)).withColumn("shown", F.floor(F.octet_length(body) / 4).cast("long")).drop("body")
 
 
 def oversized(notes: DataFrame, raw: DataFrame, config: HealthConfig) -> DataFrame:
     """Long notes with at least three filled sections; raw is (path, raw), read only for long notes."""
-    big = notes.filter(estimated_tokens("body") > config.size_threshold).select("path", shown_tokens("body").alias("tokens"))
+    big = measured(notes).filter(F.col("tokens") > config.size_threshold).select("path", F.col("shown").alias("tokens"))
     n = raw.select("path", "raw").join(big, "path").select("path", "tokens", md.substantial_sections("raw").alias("n"))
     return n.filter("n >= 3").select(*finding("oversized", "path", "~", F.col("tokens"), " tokens, ", F.col("n"), " sections - split candidate"))
 
 
 def stubs(notes: DataFrame, links: DataFrame, config: HealthConfig) -> DataFrame:
     """Nearly empty notes that link nowhere."""
-    small = notes.filter((estimated_tokens(F.coalesce("body", F.lit(""))) < config.stub_threshold) & ~under("path", config.expected_orphan_folders, False))
+    small = measured(notes).filter((F.col("tokens") < config.stub_threshold) & ~under("path", config.expected_orphan_folders, False))
     linked = links.filter("target_path IS NOT NULL").select(F.col("source_path").alias("path")).distinct()
-    tokens = shown_tokens(F.coalesce("body", F.lit("")))
-    return small.join(linked, "path", "left_anti").select(*finding("stub", "path", "near-empty (~", tokens, " tokens), links nowhere - merge or archive?"))
+    return small.join(linked, "path", "left_anti").select(*finding("stub", "path", "near-empty (~", F.col("shown"), " tokens), links nowhere - merge or archive?"))
 
 
-def orphans_and_leaves(notes: DataFrame, links: DataFrame, now: datetime, config: HealthConfig) -> DataFrame:
-    """Old notes in connective folders with no or one neighbour."""
+def note_graph(notes: DataFrame, links: DataFrame, config: HealthConfig) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that the detectors look at."""
     nodes = graph.graph_nodes(notes, list(config.exclude_from_graph))
-    degree = graph.degrees(nodes, graph.graph_edges(links, nodes)).filter("degree <= 1")
+    return nodes, graph.graph_edges(links, nodes)
+
+
+def orphans_and_leaves(notes: DataFrame, links: DataFrame, now: datetime, config: HealthConfig, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Old notes in connective folders with no or one neighbour."""
+    degree = graph.degrees(*(known or note_graph(notes, links, config))).filter("degree <= 1")
     old = notes.filter(
         ~under("path", config.expected_orphan_folders, True) & under("path", config.connective_folders, True) & (F.col("mtime") < cutoff_ms(now, config.orphan_stale_days))
     ).select("path", age_days("mtime", now).alias("age"))
@@ -171,10 +173,9 @@ def orphans_and_leaves(notes: DataFrame, links: DataFrame, now: datetime, config
     return d.select(*finding(kind, "path", text, F.col("age"), " days"))
 
 
-def islands(notes: DataFrame, links: DataFrame, config: HealthConfig) -> DataFrame:
-    """Small components, except the largest ones and those that are wholly archived."""
-    nodes = graph.graph_nodes(notes, list(config.exclude_from_graph))
-    comp = graph.components(nodes, graph.graph_edges(links, nodes))
+def islands(notes: DataFrame, links: DataFrame, config: HealthConfig, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Small components, except the largest ones and those that are wholly archived; smallest first, then by first member."""
+    comp = graph.components(*(known or note_graph(notes, links, config)))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.agg(F.max("n")).scalar()
     few = sizes.filter((F.col("n") >= 2) & (F.col("n") <= config.island_max_size) & (F.col("n") < most)).select("component")
@@ -182,20 +183,26 @@ def islands(notes: DataFrame, links: DataFrame, config: HealthConfig) -> DataFra
     members = comp.join(few, "component").groupBy("component").agg(
         F.sort_array(F.collect_list("path")).alias("m"), F.bool_and(under("path", config.archive_folders, True)).alias("archived")
     )
-    return members.filter("NOT archived").select(*finding("island", "component", "isolated cluster of ", F.size("m"), ": ", F.array_join("m", ", ")))
+    return members.filter("NOT archived").orderBy(F.size("m"), "component").select(*finding("island", "component", "isolated cluster of ", F.size("m"), ": ", F.array_join("m", ", ")))
 
 
 def audit(notes: DataFrame, links: DataFrame, raw: DataFrame, now: datetime, config: HealthConfig | None = None, report_unresolved: bool = False, folders: DataFrame | None = None) -> DataFrame:
-    """All findings, in the fixed order of their types, then by path."""
+    """All findings, in the fixed order of their types, then by path (islands by size first)."""
     c = config or HealthConfig()
+    # what the detectors share is computed once: sizes instead of bodies, and the graph
+    scratch = Scratch(notes.sparkSession, "audit")
+    notes, links = scratch.write(measured(notes), "notes"), scratch.write(links.select("source_path", "target", "target_path"), "links")
+    known = tuple(scratch.write(x, name) for x, name in zip(note_graph(notes, links, c), ("nodes", "edges")))
     parts = [
         link_findings(links, notes, c, report_unresolved, folders), para_drift(notes, now, c), oversized(notes, raw, c), stubs(notes, links, c),
-        orphans_and_leaves(notes, links, now, c), islands(notes, links, c),
+        orphans_and_leaves(notes, links, now, c, known), islands(notes, links, c, known),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy(F.array_position(F.array(*map(F.lit, ORDER)), F.col("type")), "path", "detail")
+    # islands go by their size, which their detail begins with, then by their first member
+    size = F.when(F.col("type") == "island", F.regexp_extract("detail", r"^isolated cluster of (\d+)", 1).cast("int"))
+    return out.orderBy(F.array_position(F.array(*map(F.lit, ORDER)), F.col("type")), size, "path", "detail")
 
 
 def counts_by_type(findings: DataFrame) -> DataFrame:

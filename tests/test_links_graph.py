@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from loreloom.operators import context, graph, links
@@ -61,9 +62,11 @@ def test_components_cores_and_stats(spark):
     for _ in names:
         for a, b in pairs:
             lead[a] = lead[b] = min(lead[a], lead[b])
-    assert {r["path"]: r["component"] for r in graph.components(nodes, edges).collect()} == lead
     core = peel(names, pairs)
-    assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges).collect()} == core
+    for most in (graph.LOCAL_EDGES, 0):  # in one task, and in rounds
+        assert {r["path"]: r["component"] for r in graph.components(nodes, edges, local_edges=most).collect()} == lead
+        assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges, local_edges=most).collect()} == core
+    assert [r["size"] for r in graph.component_sizes(graph.components(nodes, edges)).collect()] == sorted(list(lead.values()).count(c) for c in set(lead.values()))
     s = graph.graph_stats(nodes, edges).first()
     assert (s["node_count"], s["edge_count"], s["component_count"], s["max_core"]) == (40, len(pairs), len(set(lead.values())), max(core.values()))
 
@@ -77,6 +80,22 @@ def test_cores_of_long_chains(spark):
     nodes, edges = spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(sorted(pairs), "a string, b string")
     core = {n: {"c": 1, "d": 2, "r": 2, "t": 1, "a": 0}[n[0]] for n in names}
     assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges).collect()} == core
+    assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges, wave_every=5, local_edges=0).collect()} == core
+
+
+def test_walks_of_one_task():
+    chain = np.arange(200_000)
+    ids, core = graph.core_numbers(chain[:-1], chain[1:])
+    assert len(ids) == 200_000 and (core == 1).all()
+    mixed = np.random.default_rng(1).permutation(200_000)
+    ids, lead = graph.least_reachable(mixed[:-1], mixed[1:])
+    assert (lead == 0).all()
+    for seed in range(30):
+        rng = random.Random(seed)
+        pairs = {tuple(sorted(rng.sample(range(50), 2))) for _ in range(rng.randint(1, 120))}
+        u, v = np.array(sorted(pairs)).T
+        want = peel({n for e in pairs for n in e}, pairs)
+        assert dict(zip(*(x.tolist() for x in graph.core_numbers(u, v)))) == want
 
 
 def test_waves_in_every_round_change_no_core(spark):
@@ -85,7 +104,7 @@ def test_waves_in_every_round_change_no_core(spark):
         names = [f"n{i:02d}" for i in range(60)]
         pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(60 + 50 * seed)}
         nodes, edges = spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(sorted(pairs), "a string, b string")
-        assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges, wave_every=1).collect()} == peel(names, pairs)
+        assert {r["path"]: r["coreness"] for r in graph.coreness(nodes, edges, wave_every=1, local_edges=0).collect()} == peel(names, pairs)
 
 
 def test_empty_graph(spark):
