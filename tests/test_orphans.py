@@ -45,15 +45,16 @@ def test_equals_brute_force_in_any_batches(spark, batches):
     assert len(got) == len(set(got)) and set(got) == brute(links, notes, removed)
 
 
-def test_arrivals_settle_and_withdrawals_reopen(spark):
+def test_arrivals_settle_and_withdrawals_reopen(spark, tmp_path):
     links, notes, _ = tables(spark, [(1, "a", "t", "b", 5.0, ""), (2, None, "t", "b", 9.0, "")], [("b", 6.0, 7.0, False)], [])
-    ledger = orphans.OrphanLedger(spark)
+    ledger = orphans.OrphanLedger(spark, str(tmp_path / "ledger"))
     state = lambda: {(r["ref_id"], r["field"]): r["state"] for r in ledger.orphans().collect()}
     ledger.apply(orphans.references(links))
     assert state() == {(1, "source_path"): "missing", (1, "target_path"): "missing", (2, "target_path"): "missing"}
     ledger.apply(parent_events=orphans.arrivals(notes))
     assert state() == {(1, "source_path"): "missing", (1, "target_path"): "late"}
     gone = spark.createDataFrame([("b", 20.0)], REMOVED)
+    ledger = orphans.OrphanLedger(spark, str(tmp_path / "ledger"))  # another session goes on with the folder
     ledger.apply(parent_events=orphans.withdrawals(gone))
     assert state() == {(1, "source_path"): "missing", (1, "target_path"): "deleted", (2, "target_path"): "deleted"}
     ledger.apply(parent_events=orphans.withdrawals(gone))  # repeated events are harmless
@@ -66,3 +67,30 @@ def test_arrivals_settle_and_withdrawals_reopen(spark):
 def test_empty_tables(spark):
     assert orphans.orphan_links(*tables(spark, [], [], [])).collect() == []
     assert len(orphans.orphan_links(*tables(spark, [(1, "a", "", "", None, "")], [], [])).collect()) == 1
+
+
+def test_a_stream_feeds_the_ledger_and_touches_few_buckets(spark, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "ledger")
+    ledger = orphans.OrphanLedger(spark, folder, [])
+    batches = [
+        [("reference", i, "target_path", f"p{i % 30}", 5.0) for i in range(90)],
+        [("arrival", None, None, "p3", 4.0), ("arrival", None, None, "p4", 9.0)],
+        [("removal", None, None, "p5", 6.0), ("withdrawal", None, None, "p3", 20.0)],
+    ]
+    states, manifests = [], []
+    for rows in batches:
+        spark.createDataFrame(rows, orphans.FEED).write.mode("append").parquet(src)
+        q = spark.readStream.schema(orphans.FEED).parquet(src).writeStream.foreachBatch(ledger.feed()).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        states.append({r["path"]: r["state"] for r in ledger.orphans().collect()})
+        manifests.append(ledger.store.manifest())
+    assert set(states[0].values()) == {"missing"} and len(states[0]) == 30
+    assert "p3" not in states[1] and states[1]["p4"] == "late"
+    assert states[2]["p3"] == "deleted" and states[2]["p5"] == "deleted" and states[2]["p6"] == "missing"
+    moved = [b for b, f in manifests[2]["tables"]["refs"].items() if manifests[1]["tables"]["refs"].get(b) != f]
+    assert 1 <= len(moved) <= 2
+    assert {r["batch"]: r["n"] for r in ledger.snapshots().groupBy("batch").agg({"refs": "sum"}).withColumnRenamed("sum(refs)", "n").collect()} == {1: 90, 2: 87, 3: 90}
+    before = ledger.store.manifest()["n"]
+    ledger.apply(epoch=2)  # told again
+    assert ledger.store.manifest()["n"] == before
