@@ -88,13 +88,15 @@ class Engine:
         return health.audit(self.notes, self.links, self.notes.select("path", "raw"), now, self.config.health, report_unresolved, dirs)
 
     def digest(self, output: str = "2-Areas/_DAILY-DIGEST.md", now: datetime | None = None) -> str:
-        """Writes the rolling digest note and moves the watermark once it is written; returns the section."""
+        """Writes the rolling digest note and moves the watermark once it is written; returns the section.
+
+        Dates and times are those of the zone of ``now``."""
         now = now or datetime.now(timezone.utc)
         now_ms = now.timestamp() * 1000
         self.reindex(now_ms=now_ms)
         meta, today = self.index.meta(), now.date()
-        cut = digest.cutoff(meta, today)
-        entry = digest.render(digest.changed_since(self.notes, cut), today, digest.window(today)[1])
+        cut = digest.cutoff(meta, today, now.tzinfo)
+        entry = digest.render(digest.changed_since(self.notes, cut), today, digest.window(today)[1], now.tzinfo)
         path = output if os.path.isabs(output) else os.path.join(self.config.root, output)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         existing = open(path, encoding="utf-8").read() if os.path.exists(path) else ""
@@ -108,6 +110,10 @@ class Engine:
         rows = actions.parse_registers(actions.registers(self.notes.select("path", "raw")))
         return actions.open_actions(rows, today or date.today(), owner)
 
+    def register_paths(self) -> list[str]:
+        """Of one vault's action registers."""
+        return [r["path"] for r in actions.registers(self.notes.select("path")).orderBy("path").collect()]
+
     def worklist(self, today: date | None = None, owner: str = "") -> DataFrame:
         rows = actions.parse_registers(actions.registers(self.notes.select("path", "raw")))
         return actions.worklist(rows, today or date.today(), owner)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -139,14 +140,15 @@ def as_json(actions: DataFrame) -> DataFrame:
     return actions.select(F.to_json(F.struct(*(F.col(c).alias(names.get(c, c)) for c in order)), {"ignoreNullFields": "false"}).alias("json"))
 
 
+# Headings that the human block may stand under: fixed values.
+PRIORITY_HEADINGS = ("Priority List", "Prioritise Today")
+PRIORITIES = re.compile(r"^## (" + "|".join(PRIORITY_HEADINGS) + r")\n\n(.*?)\n---", re.S | re.M)
+
+
 def priority_block(existing: str) -> str:
     """What a person wrote under the priorities, kept when the review is made anew."""
-    for heading in ("## Priority List", "## Prioritise Today"):
-        _, found, rest = existing.partition(f"{heading}\n\n")
-        text, closed, _ = rest.partition("\n---")
-        if found and closed and text.strip():
-            return text.strip() + "\n"
-    return DEFAULT_PRIORITIES
+    found = {m[1]: m[2].strip() for m in reversed(list(PRIORITIES.finditer(existing)))}
+    return next((found[h] + "\n" for h in PRIORITY_HEADINGS if found.get(h)), DEFAULT_PRIORITIES)
 
 
 def markdown_table(rows: list) -> str:
@@ -160,15 +162,24 @@ def markdown_table(rows: list) -> str:
     return "\n".join(out) + "\n"
 
 
-def review_document(actions: DataFrame, today: date, owner: str = "", existing: str = "") -> str:
-    """The review of all open actions; a report for people, of which one vault's rows fit on the driver."""
+SYNC_NOTE = "Only the priorities and one's own actions are meant for other task lists; what others owe stays here, and the registers remain the source.\n"
+
+
+def review_document(actions: DataFrame, today: date, owner: str = "", existing: str = "", registers: list[str] | None = None) -> str:
+    """The review of all open actions; a report for people, of which one vault's rows fit on the driver.
+
+    ``registers`` are the paths of the registers read; without them those that have an open action are listed."""
     rows = sections(actions, today, owner).orderBy(*review_order()).collect()
     of = lambda s: markdown_table([r for r in rows if r["section"] == s])
     n = counts(actions, today, owner).first()
     named = f"My Actions ({owner})" if owner else "My Actions"
-    head = f"# Action Review\n\n**Generated:** {today.isoformat()}\n**Open actions:** {n['open']}\n"
+    if registers is None:
+        registers = [r[0] for r in open_actions(actions, today, owner).select("register_path").distinct().orderBy("register_path").collect() if r[0]]
+    listed = "".join(f"- [[{p.removesuffix('.md')}]]\n" for p in registers) or "_No action registers found._\n"
+    head = f"# Action Review\n\n**Generated:** {today.isoformat()}\n**Registers found:** {len(registers)}\n**Open actions:** {n['open']}\n"
     parts = [head, f"## Priority List\n\n{priority_block(existing)}", f"## Overdue / Due Now\n\n{of('overdue')}", f"## {named}\n\n{of('mine')}"]
     parts += [f"## Needs Review\n\n{of('needs review')}", f"## Waiting On Others\n\n{of('waiting')}"]
+    parts += [f"## Registers Included\n\n{listed}", f"## External Todo Sync\n\n{SYNC_NOTE}"]
     return "\n---\n\n".join(parts)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone, tzinfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,14 +54,14 @@ def window(today: date) -> tuple[date, str]:
     return start, name(start) if start == before else f"{name(start)} to {name(before)}"
 
 
-def cutoff(meta: dict[str, str], today: date) -> float:
+def cutoff(meta: dict[str, str], today: date, zone: tzinfo | None = None) -> float:
     """A rerun on the same date keeps its window, a new date starts at the last run, the very first at the wall clock."""
     if meta.get(WINDOW_DATE) == today.isoformat() and WINDOW_START in meta:
         return float(meta[WINDOW_START])
     if LAST_RUN in meta:
         return float(meta[LAST_RUN])
     start, _ = window(today)
-    return datetime(start.year, start.month, start.day, tzinfo=timezone.utc).timestamp() * 1000
+    return datetime(start.year, start.month, start.day, tzinfo=zone or timezone.utc).timestamp() * 1000
 
 
 def advance(meta: dict[str, str], cut: float, today: date, now_ms: float) -> dict[str, str]:
@@ -69,18 +69,27 @@ def advance(meta: dict[str, str], cut: float, today: date, now_ms: float) -> dic
     return meta | {WINDOW_START: repr(cut), WINDOW_DATE: today.isoformat(), LAST_RUN: repr(now_ms)}
 
 
-def lines(changed: DataFrame) -> DataFrame:
-    """(rank, grp, changed_at, path, line) of each note's entry in the document."""
-    stamp = F.date_format(F.timestamp_millis(F.col("changed_at").cast("long")), "yyyy-MM-dd HH:mm")
+def _zone_name(zone: tzinfo | None) -> str:
+    """A zone's name as Spark takes it; zones without one go by their offset of today."""
+    if zone is None or zone is timezone.utc:
+        return "UTC"
+    offset = datetime.now(zone).strftime("%z")
+    return getattr(zone, "key", None) or f"{offset[:3]}:{offset[3:5]}"
+
+
+def lines(changed: DataFrame, zone: tzinfo | None = None) -> DataFrame:
+    """(rank, grp, changed_at, path, line) of each note's entry in the document, with the zone's times (UTC without one)."""
+    wall = F.timestamp_millis(F.col("changed_at").cast("long")).cast("timestamp_ntz")
+    stamp = F.date_format(F.convert_timezone(F.current_timezone(), F.lit(_zone_name(zone)), wall), "yyyy-MM-dd HH:mm")
     marker = F.when(F.col("is_new"), "new").otherwise("updated")
     line = F.concat(F.lit("- "), md.wiki_link("path", "title"), F.lit(" — "), marker, F.lit(", "), stamp)
     return changed.select(group_rank("grp").alias("rank"), "grp", "changed_at", "path", line.alias("line"))
 
 
-def render(changed: DataFrame, today: date, label: str) -> str:
+def render(changed: DataFrame, today: date, label: str, zone: tzinfo | None = None) -> str:
     """The dated section. One window's notes are read by people, so they fit on the driver."""
     head = f"## {today:%Y-%m-%d} — activity for {label}"
-    rows = lines(changed).orderBy("rank", F.lower("grp"), "grp", "changed_at", "path").collect()
+    rows = lines(changed, zone).orderBy("rank", F.lower("grp"), "grp", "changed_at", "path").collect()
     if not rows:
         return head + "\n\n_No vault activity in this window._\n"
     out, by = [head, "", f"**Notes touched:** {len(rows)}", ""], {}

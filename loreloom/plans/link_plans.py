@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import context, corpus, links
-from ..runtime import table
+from ..runtime import UNICODE_SPACE, table
+from .search_plans import index_of, ranked
 from .sql import CUR, LNK, resolved
 
 SEED = "00 Home.md"
@@ -58,7 +59,8 @@ def expand_unknown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_context(spark: SparkSession, d: str) -> DataFrame:
-    return context.topic(notes_of(spark, d), links_of(spark, d), "energy audit", 15)
+    """What a topic's two words bring together: matches, their neighbours and tag siblings, in order of worth."""
+    return context.topic(index_of(spark, d), links_of(spark, d), "energy audit", 15).select("path", "title", "relevance")
 
 
 QUERIES = {f.__name__: f for f in (resolve_links, resolve_counts, re_resolve_removed, neighbours_out, neighbours_in, expand_context, expand_unknown, topic_context)}
@@ -80,5 +82,15 @@ ORACLES = {
       two AS (SELECT path, phase FROM near UNION ALL SELECT target_path, 3 FROM lnk WHERE source_path IN (SELECT path FROM near) AND target_path IN (SELECT path FROM cur) AND target_path <> '{SEED}')
       SELECT path, CASE min(phase) WHEN 1 THEN 'outgoing_link' WHEN 2 THEN 'incoming_link' ELSE '2nd_hop' END AS relationship
       FROM two GROUP BY path ORDER BY min(phase), path LIMIT 60""",
+    "topic_context": f"""WITH {ranked(("energi", "audit"))}, {LNK},
+      h AS (SELECT path, title, tags, row_number() OVER (ORDER BY rank, path) AS k FROM r QUALIFY k <= 9),
+      ex AS (SELECT h.k, l.target_path AS path, 1 AS ph FROM h JOIN lnk l ON l.source_path = h.path WHERE h.k <= 3 AND l.target_path IN (SELECT path FROM cur)
+        UNION ALL SELECT h.k, l.source_path, 2 FROM h JOIN lnk l ON l.target = h.title OR ends_with(lower(l.target), lower('/' || h.title)) WHERE h.k <= 3 AND h.title <> '' AND l.source_path IN (SELECT path FROM cur)),
+      e1 AS (SELECT ex.k, ex.path, min(ph) AS ph FROM ex JOIN h USING (k) WHERE ex.path <> h.path GROUP BY ALL),
+      e2 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ph, path) AS n FROM e1),
+      tg AS (SELECT t, count(*) AS c FROM (SELECT unnest(regexp_split_to_array(tags, '[{UNICODE_SPACE}]+')) AS t FROM h) WHERE t NOT IN ('active', 'work', 'personal') AND strlen(t) > 2 GROUP BY t ORDER BY c DESC, t LIMIT 1),
+      sib AS (SELECT path, 'shared_tag:' || t AS relevance, 10000 + row_number() OVER (ORDER BY path) AS ord FROM cur, tg WHERE tags ILIKE '%' || t || '%' QUALIFY ord <= 10005),
+      al AS (SELECT path, 'direct_match' AS relevance, k AS ord FROM h UNION ALL SELECT e2.path, 'linked_from:' || h.path, 1000 * e2.k + n FROM e2 JOIN h USING (k) WHERE n <= 5 UNION ALL SELECT * FROM sib)
+      SELECT path, title, relevance FROM (SELECT DISTINCT ON (path) * FROM al ORDER BY path, ord) JOIN cur USING (path) ORDER BY ord LIMIT 15""",
     "expand_unknown": "SELECT 'no such note' AS path, 'no such note' AS title, 'not_found' AS relationship, '' AS snippet",
 }

@@ -21,6 +21,11 @@ def parse_notes(spark: SparkSession, d: str) -> DataFrame:
     return corpus.parse(docs.drop("path").withColumn("path", F.col("doc_id").cast("string"))).select("path", "title", "tags", "frontmatter", "content_hash")
 
 
+def parse_headings(spark: SparkSession, d: str) -> DataFrame:
+    """The first level-one heading of each body, which is the title where frontmatter has none."""
+    return raw_docs(spark, d).select("doc_id", md.heading_title(md.body_text("raw")).alias("heading"))
+
+
 def parse_links(spark: SparkSession, d: str) -> DataFrame:
     return raw_docs(spark, d).select("doc_id", F.posexplode(md.wikilinks("raw")).alias("pos", "target"))
 
@@ -60,6 +65,7 @@ def _rep(expr: str, pattern: str, to: str) -> str:
     return f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
 
 
+BODY = "CASE WHEN regexp_matches(text, '(?s)\\A---[^\\n]*\\n.*?\\n---') THEN regexp_extract(text, '(?s)\\A---[^\\n]*\\n.*?\\n---[^\\n]*(?:\\n(.*))?\\z', 1) ELSE text END"
 _BODY = "b0"
 for _p, _t in (
     ("`[^`]+`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"\[\[[^\]|]+\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]|]+)\]\]", r"\1"),
@@ -67,8 +73,13 @@ for _p, _t in (
 ):
     _BODY = _rep(_BODY, _p, _t)
 
-QUERIES = {f.__name__: f for f in (parse_notes, parse_links, parse_inline_tags, parse_body, parse_sections, note_names, note_shapes, flat_captions)}
+QUERIES = {f.__name__: f for f in (parse_notes, parse_headings, parse_links, parse_inline_tags, parse_body, parse_sections, note_names, note_shapes, flat_captions)}
 ORACLES = {
+    "parse_headings": f"SELECT doc_id, trim(regexp_extract(b, '(?m)^#\\s+([^\\n]+)$', 1), {BLANKS}) AS heading FROM (SELECT doc_id, {BODY} AS b FROM documents WHERE text IS NOT NULL)",
+    "flat_captions": f"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), {BLANKS})) AS ls FROM documents WHERE text IS NOT NULL),
+      k AS (SELECT doc_id, list_filter(ls, lambda x: x <> '' AND NOT contains(x, '-->') AND NOT regexp_matches(x, '^[0-9]+$')
+        AND NOT regexp_matches(x, '^(?:WEBVTT|Kind:|Language:|NOTE\\b|STYLE\\b|REGION\\b)')) AS ks FROM l)
+      SELECT doc_id, regexp_replace(array_to_string(list_filter(ks, lambda x, i: i = 1 OR x <> ks[i - 1]), ' '), '[\\x09-\\x0d ]+', ' ', 'g') AS flat FROM k""",
     "parse_links": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, trim(x, {BLANKS}) AS target FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
       SELECT doc_id, regexp_extract_all(text, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1) AS l FROM documents WHERE text IS NOT NULL))""",
     "parse_inline_tags": """SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, x AS tag FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (

@@ -138,15 +138,19 @@ def _any(word: str) -> str:
     return f"(contains(t, '{word}') OR contains(b, '{word}') OR contains(g, '{word}'))"
 
 
-def _bm25(stems: tuple[str, str], where: str, tail: str, columns: str = "path, title, ") -> str:
-    return f"""WITH {TOK}, tf AS (SELECT path, count(*) FILTER (x = '{stems[0]}') AS f0, count(*) FILTER (x = '{stems[1]}') AS f1 FROM pos GROUP BY path),
+def ranked(stems: tuple[str, str], where: str = "") -> str:
+    """CTEs that end in ``r(path, title, tags, rank)``: the notes with both stems."""
+    return f"""{TOK}, tf AS (SELECT path, count(*) FILTER (x = '{stems[0]}') AS f0, count(*) FILTER (x = '{stems[1]}') AS f1 FROM pos GROUP BY path),
     s AS (SELECT flat.path, title, tags, dl, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1 FROM flat LEFT JOIN tf USING (path)),
     c AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM s),
     w AS (SELECT CASE WHEN ln((n-d0+0.5)/(d0+0.5)) <= 0 THEN 1e-6 ELSE ln((n-d0+0.5)/(d0+0.5)) END AS i0,
       CASE WHEN ln((n-d1+0.5)/(d1+0.5)) <= 0 THEN 1e-6 ELSE ln((n-d1+0.5)/(d1+0.5)) END AS i1, a FROM c),
     r AS (SELECT path, title, tags, round(-(i0*f0*2.2/(f0+1.2*(0.25+0.75*dl/a)) + i1*f1*2.2/(f1+1.2*(0.25+0.75*dl/a))), 9) AS rank
-      FROM s, w WHERE f0 > 0 AND f1 > 0 {where})
-    SELECT {columns}round(rank, 5) AS rank FROM r {tail}"""
+      FROM s, w WHERE f0 > 0 AND f1 > 0 {where})"""
+
+
+def _bm25(stems: tuple[str, str], where: str, tail: str, columns: str = "path, title, ") -> str:
+    return f"WITH {ranked(stems, where)} SELECT {columns}round(rank, 5) AS rank FROM r {tail}"
 
 
 QUERIES = {

@@ -1,6 +1,7 @@
 from datetime import date, datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from loreloom.operators import actions, corpus, digest, health
 
@@ -111,3 +112,33 @@ def test_upsert_keeps_and_moves_times(spark):
     assert got == {"same": (1.0, 10.0, 5.0), "touched": (2.0, 10.0, 5.0), "edited": (2.0, 100.0, 5.0), "new": (900.0, 100.0, 100.0)}
     diff = {r["path"]: r["change"] for r in corpus.diff(old, new).collect()}
     assert diff == {"touched": "changed", "edited": "changed", "new": "new", "gone": "deleted"}
+
+
+def test_orders_of_reports(spark):
+    """Review, due and findings order against plain sorts."""
+    import random
+    from datetime import date
+
+    from loreloom.operators import actions, health
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["Open", "overdue", "needs review", "Waiting", "🔥 open", "odd", None]), rng.choice(["b", "A", "a", "c"]) + str(i), "kim", rng.choice(["2024-01-02", "2024-07-01", "soon", None]), "", "", "r.md", rng.choice(["T", "S"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, status string, action string, owner string, review_due string, first_raised string, latest_source string, register_path string, register_title string")
+    today = date(2024, 6, 30)
+    due = lambda r: date.fromisoformat(r[4]) if r[4] and r[4][0] == "2" else date.max
+    ranks = {"overdue": 0, "needs review": 1, "waiting": 2, "open": 3}
+    got = [r["id"] for r in actions.open_actions(df, today).orderBy(*actions.review_order()).collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (ranks.get((r[1] or "").lower(), 5), due(r), r[8], r[2].lower()))]
+    got = [r["id"] for r in actions.worklist(df, today, "KIM").collect()]
+    bucket = lambda r: 0 if due(r) <= today or r[1] == "overdue" else 2 if r[1] == "Waiting" else 1
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (bucket(r), due(r), r[8], r[2].lower()))]
+
+    names = [f"3-Resources/{c}.md" for c in "abcdefg"]
+    notes = spark.createDataFrame([(n, n[:-3], "x" * 300, "", "{}", 1.0) for n in names], "path string, title string, body string, tags string, frontmatter string, mtime double")
+    pairs = [("a", "b"), ("b", "c"), ("d", "e"), ("f", "g"), ("a", "nothing")]
+    links = spark.createDataFrame([(f"3-Resources/{a}.md", b, f"3-Resources/{b}.md" if len(b) == 1 else None) for a, b in pairs] + [("3-Resources/f.md", "z", None)], "source_path string, target string, target_path string")
+    big = health.HealthConfig(island_max_size=2)
+    rows = health.audit(notes, links, notes.select("path", F.col("body").alias("raw")), datetime(2024, 6, 30), big, True).collect()
+    assert [r["type"] for r in rows] == sorted((r["type"] for r in rows), key=health.ORDER.index)
+    assert [r["path"] for r in rows if r["type"] == "dangling_link"] == ["3-Resources/a.md", "3-Resources/f.md"]
+    assert [r["path"] for r in rows if r["type"] == "island"] == ["3-Resources/d.md", "3-Resources/f.md"]
