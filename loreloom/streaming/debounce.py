@@ -24,24 +24,23 @@ def bursts(events: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
 def quiet_periods(events: DataFrame, time: str, seconds: int) -> DataFrame:
     """(first_at, last_at, n_events) of bursts over all events together, without bringing them into one task.
 
-    Events are cut into hours; within an hour bursts are found apart, then the few bursts that touch
-    an hour's ends are merged over the list of bursts.
+    Events of one stretch of ``seconds`` are never parted by so much quiet, so each stretch is one row before anything
+    is ordered. Stretches are chained within their hour, then the hours, of which there are few, by their ends.
     """
-    t = events.select(F.col(time).alias("t")).filter("t IS NOT NULL").withColumn("hour", F.date_trunc("hour", "t"))
-    per = W.Window.partitionBy("hour").orderBy("t")
-    gap = F.unix_micros(F.col("t").cast("timestamp")) - F.lag(F.unix_micros(F.col("t").cast("timestamp"))).over(per)
-    t = t.withColumn("new", (gap.isNull() | (gap >= seconds * 1_000_000)).cast("int"))
-    t = t.withColumn("k", F.sum("new").over(per.rowsBetween(W.Window.unboundedPreceding, 0)))
-    local = t.groupBy("hour", "k").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n"))
-    # only an hour's first burst may continue the one before: hours are chained by their last event
-    span = local.groupBy("hour").agg(F.max("b").alias("hour_end"), F.count(F.lit(1)).alias("bursts"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap = F.lit(seconds * 1_000_000)
+    t = events.select(F.col(time).alias("t")).filter("t IS NOT NULL")
+    bins = t.groupBy(F.floor(micros("t") / gap).alias("bin")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n"))
+    bins = bins.withColumn("hour", F.date_trunc("hour", "a"))
+    inner = W.Window.partitionBy("hour").orderBy("a")
+    bins = bins.withColumn("before", F.lag("b").over(inner))
+    # an hour's first stretch may go on with what the hour before ends with
     order = W.Window.orderBy("hour")
-    ends = span.withColumn("before", F.lag("hour_end").over(order)).select("hour", "before", "bursts")
-    j = local.join(ends, "hour")
-    follows = (F.col("k") == 1) & F.coalesce(F.unix_micros(F.col("a").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp")) < seconds * 1_000_000, F.lit(False))
-    j = j.withColumn("starts", (~follows).cast("int"))
-    # an hour's starts are counted first, so the running sum goes over hours, not bursts
-    hours = j.groupBy("hour").agg(F.sum("starts").alias("s")).withColumn("base", F.sum("s").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("s"))
-    inner = W.Window.partitionBy("hour").orderBy("a").rowsBetween(W.Window.unboundedPreceding, 0)
-    j = j.withColumn("rank", F.sum("starts").over(inner)).join(hours.select("hour", "base"), "hour").withColumn("id", F.col("base") + F.col("rank"))
+    hours = bins.groupBy("hour").agg(F.max("b").alias("hour_end")).withColumn("hour_before", F.lag("hour_end").over(order)).select("hour", "hour_before")
+    j = bins.join(hours, "hour").withColumn("before", F.coalesce("before", "hour_before"))
+    j = j.withColumn("starts", F.coalesce(micros("a") - micros("before") >= gap, F.lit(True)).cast("int"))
+    # an hour's starts are counted first, so the running sum goes over hours, not stretches
+    upto = W.Window.unboundedPreceding
+    base = j.groupBy("hour").agg(F.sum("starts").alias("s")).withColumn("base", F.sum("s").over(order.rowsBetween(upto, 0)) - F.col("s"))
+    j = j.withColumn("rank", F.sum("starts").over(inner.rowsBetween(upto, 0))).join(base.select("hour", "base"), "hour").withColumn("id", F.col("base") + F.col("rank"))
     return j.groupBy("id").agg(F.min("a").alias("first_at"), F.max("b").alias("last_at"), F.sum("n").alias("n_events")).drop("id")

@@ -181,3 +181,49 @@ def test_writes_wait_each_for_itself_and_deletions_do_not(vault, tmp_path):
     os.utime(os.path.join(vault, "a.md"), (1_700_000_500, 1_700_000_500))
     assert look() == [("a.md", "write")]
     assert look() == []
+
+
+def test_one_call_after_a_quiet_spell():
+    from loreloom.streaming.sync import AfterQuiet
+
+    now, calls, busy = [0.0], [], iter([True, False, True, False, False, False, True, False])
+    step = AfterQuiet(lambda df, e: next(busy), lambda: calls.append(now[0]), 10, lambda: now[0])
+    for at in (0, 9, 12, 15, 22, 40, 50, 61):
+        now[0] = at
+        step(None, at)
+    assert calls == [22, 61]
+
+
+def test_git_sync(vault, tmp_path):
+    import shutil
+    import subprocess
+
+    from loreloom.streaming.sync import git_sync
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    git = lambda root, *a: subprocess.run(("git", "-C", root, "-c", "user.name=n", "-c", "user.email=e@x", *a), check=True, capture_output=True)
+    with pytest.raises(NotADirectoryError):
+        git_sync(vault)
+    far, other = str(tmp_path / "far.git"), str(tmp_path / "other")
+    subprocess.run(("git", "init", "-q", "--bare", far), check=True)
+    for root in (vault,):
+        git(root, "init", "-q")
+        git(root, "config", "user.name", "n")
+        git(root, "config", "user.email", "e@x")
+    assert git_sync(vault) == "committed" and git_sync(vault) == "clean"
+    git(vault, "remote", "add", "origin", far)
+    git(vault, "push", "-q", "-u", "origin", "HEAD")
+    subprocess.run(("git", "clone", "-q", far, other), check=True)
+    put(other, "from-far.md", "x")
+    git(other, "add", "-A")
+    git(other, "commit", "-q", "-m", "far")
+    git(other, "push", "-q")
+    put(vault, "near.md", "y")
+    assert git_sync(vault) == "exchanged" and os.path.exists(os.path.join(vault, "from-far.md"))
+    put(other, "a.md", "theirs")
+    git(other, "commit", "-qam", "theirs")
+    git(other, "pull", "-q", "--rebase")
+    git(other, "push", "-q")
+    put(vault, "a.md", "ours")
+    assert git_sync(vault) == "conflict" and open(os.path.join(vault, "a.md")).read() == "ours"
