@@ -33,10 +33,14 @@ class IndexResult:
 
 
 class StoredIndex:
-    """Notes (with raw text), links, postings and metadata of one vault."""
+    """Notes (with raw text), links, postings and metadata of one vault.
 
-    def __init__(self, spark: SparkSession, directory: str, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+    ``buckets`` of notes and links, and ``parts`` of postings, are fixed by the first build; choose them so that one
+    holds some gigabytes at most.
+    """
+
+    def __init__(self, spark: SparkSession, directory: str, buckets: int = 16, parts: int = search.PARTS):
+        self.spark, self.buckets, self.parts = spark, buckets, parts
         self.dir = directory
 
     @property
@@ -64,7 +68,7 @@ class StoredIndex:
     def full_text(self) -> search.FullText:
         """Postings as they were published last; a query reads the parts of its terms alone."""
         change = self.store.begin()
-        return search.FullText(change.read("notes").drop("raw"), lambda parts: self._postings(change, parts), search.PARTS)
+        return search.FullText(change.read("notes").drop("raw"), lambda parts: self._postings(change, parts), change.manifest.get("parts", self.parts))
 
     def _postings(self, change: Change, parts: list[int] | None) -> DataFrame:
         rows = change.read_segments("postings", parts)
@@ -141,7 +145,7 @@ class StoredIndex:
     def _index_text(self, change: Change, parsed: DataFrame, touched: DataFrame, whole: bool) -> None:
         gen = F.lit(change.manifest["n"] + 1).cast("long")
         rows = search.postings_of(parsed).withColumn("gen", gen)
-        part = search.part_of("term")
+        part = search.part_of("term", change.manifest.setdefault("parts", self.parts))
         change.add_segment("postings", rows, part, "term", replace=whole)
         change.add_segment("touched", touched.withColumn("gen", gen), F.lit(0), replace=whole)
         if len(change.manifest["segments"]["postings"]) > MOST_SEGMENTS:
