@@ -458,25 +458,28 @@ def in_second_half(text: str) -> bool:
     return bool(int(runs.min()) >> 7 & 1)
 
 
-def held_out(texts: list[str], toxic: list[bool], least: int = LEAST, seed_words: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray] | None:
-    """(log chance, label) of the second half's texts by a model of the first half; None if either has few toxic texts."""
+def held_out(texts: list[str], toxic: list[bool], least: int = LEAST, seed_words: Sequence[str] = ()) -> np.ndarray | None:
+    """Log chance of every text by a model of the half that the text doesn't belong to; None if a half has few toxic texts."""
     y, second = np.array(toxic, bool), np.fromiter(map(in_second_half, texts), bool, len(texts))
     if min(y[second].sum(), y[~second].sum()) < 20:
         return None
-    half = fit([t for t, s in zip(texts, second) if not s], y[~second].tolist(), least, seed_words=seed_words)
-    rest = [t for t, s in zip(texts, second) if s]
-    return np.concatenate([-np.log(10) * score_block(half, rest[a:b])[0] for a, b in bpe.blocks(rest)]), y[second]
+    out = np.zeros(len(texts))
+    for side in (True, False):
+        model = fit([t for t, s in zip(texts, second) if s != side], y[second != side].tolist(), least, seed_words=seed_words)
+        rest = [t for t, s in zip(texts, second) if s == side]
+        out[second == side] = np.concatenate([-np.log(10) * score_block(model, rest[a:b])[0] for a, b in bpe.blocks(rest)])
+    return out
 
 
 def fit_with_cut(texts: list[str], toxic: list[bool], least: int = LEAST, seed_words: Sequence[str] = ()) -> ToxicModel:
-    """The model of all reviewed texts, with the cut that a model of half of them finds best on the other half.
+    """The model of all reviewed texts, with the cut that is best for the texts when each is scored by a model of the other half.
 
     With fewer than 20 toxic texts in a half the cut stays ``LOG_CHANCE``; that holds for the fit alone.
     """
     model = fit(texts, toxic, least, seed_words=seed_words)
     tried = held_out(texts, toxic, least, seed_words)
     if tried is not None:
-        model.log_chance = _best_cut(*tried)
+        model.log_chance = _best_cut(tried, np.array(toxic, bool))
     return model
 
 

@@ -49,7 +49,7 @@ def test_words_seen_twice_keep_their_score_at_every_size(monkeypatch):
     monkeypatch.setattr(tx, "fit", lambda t, b, least, **more: used.append((len(t), least)) or inner(t, b, least, **more))
     tx.fit_with_cut(texts, y)
     first = sum(not tx.in_second_half(t) for t in texts)
-    assert used == [(1200, tx.LEAST), (first, tx.LEAST)] and 0 < first < 1200
+    assert used == [(1200, tx.LEAST), (first, tx.LEAST), (1200 - first, tx.LEAST)] and 0 < first < 1200
     # copies, whatever their case and layout, share a half
     assert all(tx.in_second_half(t) == tx.in_second_half("  " + t.upper().replace(" ", "\n")) for t in texts[:50])
 
