@@ -15,12 +15,17 @@ from .search import FullText, as_index, below, search, with_tag
 TRIVIAL_TAGS = ("active", "work", "personal")
 
 
+def _shown(notes: DataFrame) -> DataFrame:
+    """(path, title, snippet): bodies are clipped before any join moves them."""
+    return notes.select("path", "title", F.substring("body", 1, 200).alias("snippet"))
+
+
 def outgoing(links: DataFrame, notes: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_path, path, title, snippet) of the notes that the sources (path) link to; unresolved links give none."""
     mine = links.filter("target_path IS NOT NULL").join(sources.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_semi")
     to = mine.groupBy("source_path", F.col("target_path").alias("path")).agg(F.min("target").alias("typed"))
-    out = to.join(notes.select("path", "title", "body"), "path")
-    return out.select("source_path", "path", F.coalesce(F.nullif("title", F.lit("")), "typed").alias("title"), F.substring("body", 1, 200).alias("snippet"))
+    out = to.join(_shown(notes), "path")
+    return out.select("source_path", "path", F.coalesce(F.nullif("title", F.lit("")), "typed").alias("title"), "snippet")
 
 
 def incoming(links: DataFrame, notes: DataFrame, title: str | Column) -> DataFrame:
@@ -28,13 +33,13 @@ def incoming(links: DataFrame, notes: DataFrame, title: str | Column) -> DataFra
     t = F.lit(title) if isinstance(title, str) else title
     named = links.filter((t != "") & ((F.col("target") == t) | F.endswith(F.lower("target"), F.lower(F.concat(F.lit("/"), t)))))
     sources = named.select(F.col("source_path").alias("path")).distinct()
-    return notes.select("path", "title", "body").join(sources, "path", "left_semi").select("path", "title", F.substring("body", 1, 200).alias("snippet"))
+    return _shown(notes).join(sources, "path", "left_semi").select("path", "title", "snippet")
 
 
 def incoming_by_path(links: DataFrame, notes: DataFrame, path: str) -> DataFrame:
     """The same by resolved path instead of typed title."""
     sources = links.filter(F.col("target_path") == path).select(F.col("source_path").alias("path")).distinct()
-    return notes.select("path", "title", "body").join(sources, "path", "left_semi").select("path", "title", F.substring("body", 1, 200).alias("snippet"))
+    return _shown(notes).join(sources, "path", "left_semi").select("path", "title", "snippet")
 
 
 def _first_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:

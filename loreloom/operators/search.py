@@ -280,32 +280,52 @@ def phrases_of(node: object) -> list[Phrase]:
 # --- postings ------------------------------------------------------------------------------------------
 
 
+#: Words of a block of notes that is counted at once; bounds the memory of the array work. A longer note is its own block.
+BLOCK_WORDS = 2_000_000
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``BLOCK_WORDS`` words."""
+    upto = np.cumsum(sum(np.diff(batch.column(k + 1).offsets.to_numpy()) for k in range(len(FIELDS))))
+    begin = 0
+    while begin < batch.num_rows:
+        held = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, held + BLOCK_WORDS, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in _blocks(batch):
+            yield from _block_postings(block)
+
+
+def _block_postings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     from ..functions.text import porter
 
-    for batch in batches:
-        n, paths = batch.num_rows, batch.column(0)
-        words, docs, at = [], [], []
-        for k in range(len(FIELDS)):
-            flat, lens = batch.column(k + 1).flatten(), np.diff(batch.column(k + 1).offsets.to_numpy())
-            words.append(flat)
-            docs.append(np.repeat(np.arange(n), lens))
-            at.append(np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + k * FIELD)
-        doc, place = np.concatenate(docs), np.concatenate(at)
-        coded = pa.concat_arrays(words).dictionary_encode()
-        terms: dict[str, int] = {}
-        stem_of = np.fromiter((terms.setdefault(porter(w), len(terms)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        dl = np.bincount(doc, minlength=n).astype(np.int32)
-        empty = pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), pa.array([], pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([""] * n, pa.string()), paths, pa.array(dl), empty], ["term", "path", "dl", "at"])
-        if len(doc):
-            key = doc * len(terms) + stem_of[coded.indices.to_numpy(zero_copy_only=False)]
-            order = np.argsort(key, kind="stable")  # a term's places in a note stay in order
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            d, t = key[first] // len(terms), key[first] % len(terms)
-            lists = pa.ListArray.from_arrays(np.append(first, len(key)).astype(np.int32), pa.array(place[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(t)), paths.take(pa.array(d)), pa.array(dl[d]), lists], ["term", "path", "dl", "at"])
+    n, paths = batch.num_rows, batch.column(0)
+    words, docs, at = [], [], []
+    for k in range(len(FIELDS)):
+        flat, lens = batch.column(k + 1).flatten(), np.diff(batch.column(k + 1).offsets.to_numpy())
+        words.append(flat)
+        docs.append(np.repeat(np.arange(n), lens))
+        at.append(np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + k * FIELD)
+    doc, place = np.concatenate(docs), np.concatenate(at)
+    coded = pa.concat_arrays(words).dictionary_encode()
+    terms: dict[str, int] = {}
+    stem_of = np.fromiter((terms.setdefault(porter(w), len(terms)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    dl = np.bincount(doc, minlength=n).astype(np.int32)
+    empty = pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), pa.array([], pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array([""] * n, pa.string()), paths, pa.array(dl), empty], ["term", "path", "dl", "at"])
+    if len(doc):
+        key = doc * len(terms) + stem_of[coded.indices.to_numpy(zero_copy_only=False)]
+        order = np.argsort(key, kind="stable")  # a term's places in a note stay in order
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        d, t = key[first] // len(terms), key[first] % len(terms)
+        lists = pa.ListArray.from_arrays(np.append(first, len(key)).astype(np.int32), pa.array(place[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(t)), paths.take(pa.array(d)), pa.array(dl[d]), lists], ["term", "path", "dl", "at"])
 
 
 def postings_of(notes: DataFrame) -> DataFrame:

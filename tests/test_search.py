@@ -99,6 +99,18 @@ def test_like_filters_keep_their_wildcards(notes):
     assert paths(search.search(notes, "brown", prefix="\\")) == []
 
 
+def test_blocks_of_words_change_nothing(notes, monkeypatch):
+    import pyarrow as pa
+
+    rows = [(p, (t or "").split(), (b or "").split(), (g or "").split()) for p, t, b, g in NOTES]
+    batch = pa.table(dict(zip(("path", *search.FIELDS), map(list, zip(*rows))))).to_batches()[0]
+    collect = lambda: sorted(map(str, (r for b in search._postings(iter([batch])) for r in b.to_pylist())))
+    whole = collect()
+    for n in (1, 5, 12):
+        monkeypatch.setattr(search, "BLOCK_WORDS", n)
+        assert collect() == whole and len(list(search._blocks(batch))) > 1
+
+
 def test_a_query_reads_its_terms_alone(spark, notes):
     index = search.FullText.of(notes)
     plan = search.matches(index, "quick brown")._jdf.queryExecution().executedPlan().toString()
