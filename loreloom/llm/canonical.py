@@ -112,14 +112,20 @@ def similar_pairs(typed: DataFrame, reference: DataFrame, allowed, most: int = 2
     # segment i of k+1: the lengths differ by one at most
     seg = seg.withColumn("at", F.floor(F.col("i") * F.col("n") / (F.col("k") + 1)).cast("int"))
     seg = seg.withColumn("upto", F.floor((F.col("i") + 1) * F.col("n") / (F.col("k") + 1)).cast("int"))
-    seg = seg.withColumn("piece", F.expr("substring(ref, at + 1, upto - at)")).select("ref", "k", "n", "at", "piece", (F.col("upto") - F.col("at")).alias("m"))
+    seg = seg.withColumn("piece", F.expr("substring(ref, at + 1, upto - at)")).select("ref", "k", "n", "i", "at", "piece", (F.col("upto") - F.col("at")).alias("m"))
     # what to cut out of the typed strings: a row for each reference length and segment
-    shapes = seg.select("k", "n", "at", "m").distinct()
+    shapes = seg.select("k", "n", "i", "at", "m").distinct()
     typed = typed.select("typed").distinct().withColumn("len", F.length("typed"))
     lens = typed.select("typed", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - most), F.col("len") + most)).alias("n"))
     cut = lens.join(shapes, "n").filter(F.abs(F.col("len") - F.col("n")) <= F.col("k"))
-    cut = cut.select("typed", "n", "k", "at", "m", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))).alias("p"))
-    cut = cut.filter("p + m <= length(typed)").select("typed", "n", "at", F.expr("substring(typed, p + 1, m)").alias("piece"))
+    # of the segments that match, one has no more edits before it than segments, and no more after it: it stands in
+    # the typed string at most i places off from its beginning and k - i places off from its end
+    shift = F.col("len") - F.col("n")
+    low = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + shift - F.col("k") + F.col("i"))
+    high = F.least(F.col("len") - F.col("m"), F.col("at") + F.col("i"), F.col("at") + shift + F.col("k") - F.col("i"))
+    cut = cut.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    cut = cut.select("typed", "n", "at", "m", F.explode(F.sequence("low", "high")).alias("p"))
+    cut = cut.select("typed", "n", "at", F.expr("substring(typed, p + 1, m)").alias("piece"))
     found = cut.join(seg.select("ref", "k", "n", "at", "piece"), ["n", "at", "piece"]).select("typed", "ref", "k").distinct()
     found = found.withColumn("d", F.levenshtein("typed", "ref")).filter("d <= k")
     # another digit is another thing, never a slip
@@ -152,7 +158,7 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     spark = rows.sparkSession
     scratch = Scratch(spark, "canonical")
     forms = scratch.write(_forms(entries, entry, names), "forms")
-    longest = forms.agg(F.max(F.length("exact"))).first()[0] or 0
+    longest, most_letters = (x or 0 for x in forms.agg(F.max(F.length("exact")), F.max(F.size("letters"))).first())
     typed = rows.select(F.col(value).alias("value")).filter(not_blank(F.col("value"))).distinct()
     # the longest reading that fits counts
     typed = scratch.write(with_exact(with_readings(typed, "value", longest + 1), "text"), "typed")
@@ -162,7 +168,11 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     # as it stands: letters that other stages fold or forgive part names here
     own = forms.groupBy("exact").agg(F.min("entry").alias("entry"), F.max("entry").alias("other")).filter("entry = other").select("exact", "entry")
     by_exact = scratch.write(cleaned.select("wid", "exact").join(own, "exact").select("wid", F.col("entry").cast("long").alias("entry")), "by_exact")
-    open_ = scratch.write(cleaned.filter(F.size("letters") > 0).join(by_exact, "wid", "left_anti"), "open")
+    # a value with a number that no name has fits none
+    known = forms.select(F.explode("numbers").alias("number")).distinct()
+    strange = cleaned.select("wid", F.explode("numbers").alias("number")).join(known, "number", "left_anti").select("wid").distinct()
+    open_ = cleaned.filter(F.size("letters") > 0).join(by_exact.select("wid").unionByName(strange), "wid", "left_anti")
+    open_ = scratch.write(open_, "open")
 
     # by words: each typed word's candidates, then the entries that have a word for every one of them
     ref_words = forms.select(F.explode("letters").alias("ref"))
@@ -172,10 +182,11 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     cut = typed_words.filter(F.col("as_typed").endswith("\x01")).join(begun, "typed").select("as_typed", "ref", F.lit(0).alias("d"))
     pairs = near.unionByName(cut).groupBy("as_typed", "ref").agg(F.min("d").alias("d")).withColumnRenamed("as_typed", "typed")
     pairs = scratch.write(pairs, "pairs")
-    in_forms = forms.select("fid", F.col("numbers").alias("form_numbers"), F.posexplode(F.array_distinct("letters")).alias("j", "ref"))
-    places = open_.select("wid", "numbers", F.posexplode("letters").alias("i", "typed"))
+    in_forms = forms.select("fid", F.col("numbers").alias("form_numbers"), F.size(F.array_distinct("letters")).alias("form_size"), F.posexplode(F.array_distinct("letters")).alias("j", "ref"))
+    # each word needs a word of the name to itself, so a value with more words than the name fits it not
+    places = open_.filter(F.size("letters") <= most_letters).select("wid", "numbers", F.size("letters").alias("size"), F.posexplode("letters").alias("i", "typed"))
     hits = places.join(pairs, "typed").join(in_forms, "ref")
-    hits = hits.filter((F.size("numbers") <= F.size("form_numbers")) & (F.size(F.array_except("numbers", "form_numbers")) == 0))
+    hits = hits.filter((F.col("size") <= F.col("form_size")) & (F.size("numbers") <= F.size("form_numbers")) & (F.size(F.array_except("numbers", "form_numbers")) == 0))
     # one exchange serves all three aggregations; a value has few rows, its words times their forms
     hits = hits.select("wid", "fid", "i", (F.shiftleft(F.col("d").cast("long"), 32) + F.col("j")).alias("dj")).repartition("wid")
     best = hits.groupBy("wid", "fid", "i").agg(F.min("dj").alias("dj"))
@@ -188,7 +199,7 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry: str, name
     by_words = scratch.write(_single(fit), "by_words")
 
     # whole, for values whose words fit no entry: parted, joined and dotted writings
-    still = open_.join(by_words, "wid", "left_anti")
+    still = open_.join(by_words, "wid", "left_anti").join(forms.select("numbers").distinct(), "numbers", "left_semi")
     same = similar_pairs(still.select(F.col("whole").alias("typed")), forms.select(F.col("whole").alias("ref")), whole_edits)
     whole = still.select("wid", "numbers", F.col("whole").alias("typed")).join(same, "typed")
     whole = whole.join(forms.select("entry", "numbers", F.col("whole").alias("ref")), ["ref", "numbers"])
