@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.corpus import current_notes
 from ..runtime import UNICODE_SPACE
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.1
@@ -24,12 +25,6 @@ def terms(text: Column | str) -> Column:
     return F.filter(F.split(c, f"[{UNICODE_SPACE}]+"), lambda t: t != "")
 
 
-def current_rows(notes: DataFrame, *columns: str) -> DataFrame:
-    """(path, columns) of each path's row with the largest mtime; a null mtime is the oldest."""
-    newest = F.max(F.struct("mtime", *columns)).alias("r")
-    return notes.filter(F.col("path").isNotNull()).groupBy("path").agg(newest).select("path", *(F.col(f"r.{c}").alias(c) for c in columns))
-
-
 def term_frequency(records: DataFrame, record: str, text: str, rare_records: int = RARE_RECORDS, common_share: float = COMMON_SHARE) -> DataFrame:
     """(term, uses, records, mark) over rows of (record, text); a record may have several rows."""
     rows = records.select(F.col(record).alias("_record"), F.col(text).alias("_text")).filter("_record IS NOT NULL")
@@ -42,6 +37,6 @@ def term_frequency(records: DataFrame, record: str, text: str, rare_records: int
 
 def tag_frequency(notes: DataFrame, tag_count: DataFrame) -> DataFrame:
     """(field, tag, uses, records, mark) for notes.tags and tag_count.tag."""
-    of_notes = term_frequency(current_rows(notes, "tags"), "path", "tags").withColumn("field", F.lit("notes.tags"))
+    of_notes = term_frequency(current_notes(notes, "tags"), "path", "tags").withColumn("field", F.lit("notes.tags"))
     of_runs = term_frequency(tag_count, "run_id", "tag").withColumn("field", F.lit("tag_count.tag"))
     return of_notes.unionByName(of_runs).select("field", F.col("term").alias("tag"), "uses", "records", "mark")
