@@ -4,11 +4,12 @@ Texts are measured in tokens, then spread by hash over groups of bounded size. A
 best-fit-decreasing packing and improves it by local search: a document moves, or is exchanged
 one-for-one or two-for-one, between underfull containers whenever that raises the sum of squared
 fills, so the emptiest containers drain into the others. What stays underfull in all groups is
-regrouped and searched again until one group is left or a level, searched in full, fills no further container.
+regrouped and searched again until one group is left or a level fills no further container. Every group is
+searched in full: until no two of its containers have a trade left.
 
 Defined results: a text is split only if it alone exceeds the capacity; its full pieces fill
 containers of their own and the remainder is packed like any other item. Empty and null texts have
-zero tokens and join an existing container of their group. Repeated rows are items of their own.
+zero tokens and join the fullest container of their group. Repeated rows are items of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from ..runtime import Scratch
 from . import bpe
 
 CAPACITY = 2048
-#: Items of a group, which one task packs; and containers that each container trades with first.
+#: Items of a group, which one task packs; and containers that each container trades with where not every one is tried.
 GROUP_ITEMS, NEIGHBOURS = 20_000, 48
 MOST_TASKS = 20_000
 #: The sum of a pair that isn't there.
@@ -154,24 +155,50 @@ def _pair_sums(values: np.ndarray) -> np.ndarray:
     return np.unique(v[i] + v[j])
 
 
-def _all_trades(sizes: np.ndarray, bins: list[list[int]], fill: list[int], capacity: int) -> bool:
-    """One round in which every underfull container is tried with every other.
+def _may_give(sizes: np.ndarray, container: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sizes of a container's documents, and of two of them."""
+    own = sizes[container]
+    return np.unique(own), _pair_sums(own)
+
+
+class _Takers:
+    """What the containers numbered ``of`` may give back and the gaps it would leave."""
+
+    def __init__(self, of: np.ndarray, gives: list[tuple[np.ndarray, np.ndarray]], gap: np.ndarray):
+        self.of, self.gap = of, gap[of]
+        none = np.zeros(0, np.int64)
+        parts = [(np.concatenate([none, *(gives[k][i] for k in of)]), np.repeat(np.arange(len(of)), [len(gives[k][i]) for k in of])) for i in (0, 1)]
+        (self.one, self.one_of), (self.two, self.two_of) = parts
+        self.one_to, self.two_to = self.one + self.gap[self.one_of], self.two + self.gap[self.two_of]
+
+    def hits(self, single: np.ndarray, double: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """Which of them have a trade that raises the sum; single and double: the donor's cumulated counts by size."""
+        ahead = ahead[self.of]
+        hit = single[self.gap] > single[ahead]
+        hit[self.one_of[double[self.one_to] > double[self.one + ahead[self.one_of]]]] = True
+        hit[self.two_of[single[self.two_to] > single[self.two + ahead[self.two_of]]]] = True
+        return hit
+
+
+def _all_trades(sizes: np.ndarray, bins: list[list[int]], fill: list[int], capacity: int, gives: dict[int, tuple[np.ndarray, np.ndarray]], fresh: set[int]) -> set[int]:
+    """One round in which every underfull container is tried with every other; returns the containers it changed.
 
     What a container may give is kept as cumulated counts by size, so one look at both ends of the window of wanted
     sizes tells for every document, or sum of two, of all the others whether an exchange for it raises the sum.
+    Only two containers of which neither is ``fresh`` were tried with each other before and are left out. ``gives``
+    has what containers may give, for the next rounds.
     """
     under = [i for i in range(len(bins)) if 0 < fill[i] < capacity]
-    if len(under) < 2:
-        return False
-    singles = [np.unique(sizes[bins[i]]) for i in under]
-    doubles = [_pair_sums(sizes[bins[i]]) for i in under]
-    level, n = np.array([fill[i] for i in under]), len(under)
-    # nothing, one document or two come back
-    one, one_of = np.concatenate(singles), np.repeat(np.arange(n), [len(x) for x in singles])
-    two, two_of = np.concatenate(doubles), np.repeat(np.arange(n), [len(x) for x in doubles])
-    gap = capacity - level
-    open_, improved = np.ones(n, bool), False  # containers that are as the round began
-    one_to, two_to = one + gap[one_of], two + gap[two_of]
+    if len(under) < 2 or not fresh:
+        return set()
+    for i in under:
+        if i in fresh or i not in gives:
+            gives[i] = _may_give(sizes, bins[i])
+    level, is_fresh = np.array([fill[i] for i in under]), np.array([i in fresh for i in under])
+    may, gap = [gives[i] for i in under], capacity - level
+    every = _Takers(np.arange(len(under)), may, gap)
+    some = every if is_fresh.all() else _Takers(np.flatnonzero(is_fresh), may, gap)
+    open_ = np.ones(len(under), bool)  # containers that are as the round began
 
     def known(values: np.ndarray) -> np.ndarray:
         return np.cumsum(np.bincount(values, minlength=2 * capacity + 1) > 0)
@@ -179,58 +206,59 @@ def _all_trades(sizes: np.ndarray, bins: list[list[int]], fill: list[int], capac
     for k, a in enumerate(under):
         if not open_[k]:
             continue  # changed in this round, so another follows
+        own, sums = may[k]
         while bins[a]:
-            own = sizes[bins[a]]
-            single, double = known(own), known(np.concatenate([own, _pair_sums(own)]))
-            ahead = np.maximum(0, fill[a] - level)
-            hit = single[gap] > single[ahead]
-            hit[one_of[double[one_to] > double[one + ahead[one_of]]]] = True
-            hit[two_of[single[two_to] > single[two + ahead[two_of]]]] = True
-            hit &= open_
-            hit[k] = False
+            single, double = known(own), known(np.concatenate([own, sums]))
+            takers = every if is_fresh[k] or not open_[k] else some
+            hit = takers.hits(single, double, np.maximum(0, fill[a] - level)) & open_[takers.of] & (takers.of != k)
             if not hit.any():
                 break
-            m = int(np.where(hit, level, -1).argmax())  # the fullest
+            m = int(takers.of[np.where(hit, level[takers.of], -1).argmax()])  # the fullest
             _trade(sizes, bins, fill, a, under[m], capacity)
             open_[k] = open_[m] = False
-            improved = True
-    return improved
+            if bins[a]:
+                own, sums = _may_give(sizes, bins[a])
+    return {under[k] for k in np.flatnonzero(~open_)}
 
 
 def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, neighbours: int = NEIGHBOURS, every: bool = True) -> list[list[int]]:
     """Drain the emptiest containers into the others; stops when no trade raises the sum of squared fills.
 
-    Without ``every`` it stops as soon as none does among the ``neighbours`` partners of each container, which is
-    for groups whose underfull containers are opened again.
+    Without ``every`` it stops as soon as none does among the ``neighbours`` partners of each container. Those are
+    much the same for all containers, so that takes longer and fills fewer; nothing here asks for it.
     """
     fill = [int(sizes[b].sum()) if b else 0 for b in bins]
-    while _near_trades(sizes, bins, fill, capacity, neighbours):
-        pass
-    while every and _all_trades(sizes, bins, fill, capacity):
-        pass
+    if every:
+        gives: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        fresh = set(range(len(bins)))
+        while fresh:
+            fresh = _all_trades(sizes, bins, fill, capacity, gives, fresh)
+    else:
+        while _near_trades(sizes, bins, fill, capacity, neighbours):
+            pass
     return [b for b in bins if b]
 
 
 def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, neighbours: int = NEIGHBOURS, every: bool = True) -> list[list[int]]:
-    """Containers of item numbers; items without tokens join the first container."""
+    """Containers of item numbers; items without tokens join the fullest container."""
     real = np.flatnonzero(sizes > 0)
     bins = local_search(sizes[real], best_fit_decreasing(sizes[real], capacity), capacity, neighbours, every) if len(real) else []
     out = [[int(real[i]) for i in b] for b in bins]
     none = np.flatnonzero(sizes <= 0).tolist()
     if none:
         if out:
-            out[0] += none
+            max(out, key=lambda b: sizes[b].sum()).extend(none)
         else:
             out = [none]
     return out
 
 
-def _pack(level: int, capacity: int, neighbours: int, every: bool):
+def _pack(level: int, capacity: int, neighbours: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_id", "piece_no"], kind="stable").reset_index(drop=True)
         sizes = pdf["n_tokens"].to_numpy(np.int64)
         bin_of, full = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
-        for k, b in enumerate(pack_group(sizes, capacity, neighbours, every)):
+        for k, b in enumerate(pack_group(sizes, capacity, neighbours, True)):
             bin_of[b] = k
             full[b] = sizes[b].sum() == capacity
         return pdf.assign(container_id=[f"{level}-{g}-{k}" for g, k in zip(pdf["grp"], bin_of)], full=full)
@@ -267,14 +295,15 @@ def fill_containers(
         .select(columns)
     ]
     left = pieces.filter(F.col("n_tokens") < cap)
-    n, level, stalled = left.count(), 0, False
+    n, level = left.count(), 0
     while True:
         groups = max(1, -(-n // group_items))
-        grouped = left.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece_no", F.lit(level)), F.lit(groups)))
+        grouped = left.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece_no", F.lit(level)), F.lit(groups)).cast("int"))
         schema = grouped.select("*", F.lit("").alias("container_id"), F.lit(True).alias("full")).schema
-        # one group a task where there are tasks enough; sizes in bytes say nothing about the work
-        grouped = grouped.repartition(min(groups, MOST_TASKS), "grp")
-        packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours, stalled or groups == 1), schema), f"level{level}")
+        # one group a task where there are tasks enough, by number, as hashes would give a task several; sizes in bytes say
+        # nothing about the work
+        grouped = grouped.repartitionById(min(groups, MOST_TASKS), "grp")
+        packed = scratch.write(grouped.groupBy("grp").applyInPandas(_pack(level, capacity, neighbours), schema), f"level{level}")
         if groups == 1:
             done.append(packed.select(columns))
             break
@@ -282,10 +311,9 @@ def fill_containers(
         left_packed = packed.filter(~F.col("full"))
         left = left_packed.drop("container_id", "full", "grp")
         before, n, level = n, left.count(), level + 1
-        if stalled and n == before:
+        if n == before:
             done.append(left_packed.select(columns))
             break
-        stalled = n == before  # then every container is tried with every other of its group, once
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -107,6 +107,43 @@ def test_regrouping_goes_on_while_items_are_settled(spark, monkeypatch):
     assert len({r["container_id"].split("-")[0] for r in out}) > 2
 
 
+def test_few_levels_as_every_group_is_searched_in_full(spark, monkeypatch):
+    monkeypatch.setattr(pk.bpe, "token_counts", lambda docs, key, text, vocabulary: docs.withColumn("n_tokens", F.length("text").cast("long")))
+    sizes = np.random.default_rng(5).integers(120, 1100, 6000)
+    df = spark.createDataFrame([(i, "x" * int(n)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    out = pk.fill_containers(df, group_items=1000).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(6000))
+    levels = [int(r["container_id"].split("-")[0]) for r in out]
+    assert max(levels) <= 2 and sum(level > 0 for level in levels) < 1200  # 1,884 with 48 partners each
+    assert len({r["container_id"] for r in out}) <= -(-int(sizes.sum()) // 2048) + 2
+
+
+def test_a_task_packs_one_group(spark, monkeypatch, tmp_path):
+    folder = str(tmp_path)
+
+    def alone(sizes, capacity, neighbours, every):  # notes its task; nothing fits, so there is one level
+        import os
+        import uuid
+
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        open(os.path.join(folder, f"{context.stageId()}-{context.partitionId()}-{uuid.uuid4().hex}"), "w").close()
+        return [[i] for i in range(len(sizes))]
+
+    monkeypatch.setattr(pk, "pack_group", alone)
+    monkeypatch.setattr(pk.bpe, "token_counts", lambda docs, key, text, vocabulary: docs.withColumn("n_tokens", F.lit(1500).cast("long")))
+    df = spark.createDataFrame([(i, "x") for i in range(320)], "doc_id long, text string")
+    assert len(pk.fill_containers(df, group_items=20).collect()) == 320
+    tasks = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()]
+    assert len(tasks) == len(set(tasks)) == 16
+
+
+def test_documents_without_tokens_join_the_fullest():
+    bins = pk.pack_group(np.array([0, 1500, 1000, 1048, 0]))
+    assert sorted(map(sorted, bins)) == [[0, 2, 3, 4], [1]]
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pk.fill_containers(df).collect() == []
